@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm._common import table
+from corvane.llm.decontaminate import find_contamination
+from corvane.llm.license_scan import scan_licenses
 from corvane.llm.mixing import mix_documents
+from corvane.llm.secret_scan import scan_secrets
 from corvane.llm.sharding import assign_shards
 
 
@@ -16,12 +19,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=8, carry=False)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with the words a 5:2:1 mix of sources takes of each."""
     return mix_documents(table(spark, sf_dir, "documents"), carry=False).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op4_mixing)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, the models trained on them."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in spans shared with the benchmark."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_licenses, op4_mixing, op9_secrets, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH sized AS (
