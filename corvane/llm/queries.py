@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm._common import table
 from corvane.llm.decontaminate import find_contamination
+from corvane.llm.exact_dedup import exact_groups
 from corvane.llm.license_scan import scan_licenses
 from corvane.llm.mixing import mix_documents
 from corvane.llm.secret_scan import scan_secrets
 from corvane.llm.sharding import assign_shards
+from corvane.llm.simhash import near_duplicates
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=8, carry=False)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of all documents."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
@@ -29,6 +36,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), carry=False).drop("copies")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, the models trained on them."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -39,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_licenses, op4_mixing, op9_secrets, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_licenses, op4_mixing, op5_simhash, op9_secrets, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH sized AS (
@@ -63,4 +75,12 @@ SELECT doc_id, size, s AS source_size, target,
 FROM rated
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
+OP2_SQL = r"""
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM bare WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
