@@ -89,7 +89,9 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     labels = F.array_compact(F.array(*[F.when(F.size(f"_cv_b{j}") > 0, F.lit(label)) for j, (label, _) in enumerate(BASE_PHRASES)]))
     # Each document sends a row of its own (the last place, without a hash) beside those of its hits, so that none is lost.
     hashes = F.concat(F.slice("_cv_hashes", F.lit(1), F.greatest(n - (k - 1), F.lit(0))), F.array(F.lit(None).cast("long")))
-    places = docs.select("_cv_id", "_cv_rid", "_cv_words", n.cast("long").alias("_cv_n"), starts.alias("_cv_starts"), labels.alias("_cv_base"), F.posexplode(hashes).alias("_cv_pos", "_cv_hash"))
+    # Computed before the rows are dealt out: a row per place carries references only. The outer form (no array is empty) keeps a filter on the array's size, which would make it twice, from the plan.
+    docs = docs.select("_cv_id", "_cv_rid", "_cv_words", n.cast("long").alias("_cv_n"), starts.alias("_cv_starts"), labels.alias("_cv_base"), hashes.alias("_cv_hashes"))
+    places = docs.select("_cv_id", "_cv_rid", "_cv_words", "_cv_n", "_cv_starts", "_cv_base", F.posexplode_outer("_cv_hashes").alias("_cv_pos", "_cv_hash"))
     met = places.join(F.broadcast(template_positions(df.sparkSession, templates, k)), "_cv_hash", "left")
     met = met.where(F.col("_cv_hash").isNull() | (F.slice("_cv_words", F.col("_cv_pos") + 1, k) == F.col("_cv_gram")))
     own = F.col("_cv_hash").isNull()
