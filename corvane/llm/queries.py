@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm._common import table
 from corvane.llm.decontaminate import find_contamination
 from corvane.llm.exact_dedup import exact_groups
+from corvane.llm.lang_id import identify
 from corvane.llm.license_scan import scan_licenses
 from corvane.llm.mixing import mix_documents
 from corvane.llm.secret_scan import scan_secrets
 from corvane.llm.sharding import assign_shards
 from corvane.llm.simhash import near_duplicates
+from corvane.llm.toxicity import grade_toxicity
+from corvane.llm.warc import archive_pages
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by trees fitted on a sample of those not held out."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, the model fitted on a sample of the labelled ones."""
+    return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the capture index."""
+    return archive_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, the models trained on them."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -51,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_licenses, op4_mixing, op5_simhash, op9_secrets, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_licenses, op4_mixing, op5_simhash, op6_language_id, op7_toxicity, op8_warc, op9_secrets, op10_decontamination)}
 
 OP4_SQL = r"""
 WITH sized AS (
@@ -83,4 +101,12 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM bare WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY t) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op2_exact_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
