@@ -126,8 +126,8 @@ def _combine(parts: list[list[tuple[int, int]]], mode: str, max_gaps: int) -> li
             if mode == "unordered" and s in got:
                 continue
             grow(left[1:], [*got, s])
-            if mode == "ordered" and max_gaps < 0:
-                break
+            if mode == "ordered" and max_gaps < 0 and got:
+                break  # the first place after what stands before gives the shortest span
 
     grow(list(range(len(parts))), [])
     return _minimal(found)

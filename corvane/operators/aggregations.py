@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 from typing import TYPE_CHECKING
@@ -42,6 +43,11 @@ def _kind(node: dict) -> tuple[str, dict, dict]:
     return kind, node[kind], node.get("aggs") or node.get("aggregations") or {}
 
 
+def _between(value: Callable[[Column], Column], lo: Column | None, hi: Column | None) -> Callable[[Column], Column]:
+    """Whether a value is at least ``lo`` and below ``hi``, where these are given."""
+    return lambda x: x.isNotNull() & (F.lit(True) if lo is None else value(x) >= lo) & (F.lit(True) if hi is None else value(x) < hi)
+
+
 class Level:
     """Rows that stand for the documents of buckets: the frame, the keys so far, and the nested path that rows are elements of."""
 
@@ -105,7 +111,7 @@ class Aggregator:
         if metrics and not level.keys:
             mine = self._metrics(level, metrics, F.count("*").alias("doc_count"))
             for n, (k, _) in metrics.items():
-                self.out[n] = mine.select([c for c in mine.columns if c == n or c.startswith(n + ".")])
+                self.out[n] = mine.select([F.col(f"`{c}`") for c in mine.columns if c == n or c.startswith(n + ".")])
         for n, (k, how, _) in kinds.items():
             if k in SIBLINGS:
                 self.out[f"{path}>{n}" if path else n] = self._sibling(level, k, how, path, n)
@@ -509,7 +515,7 @@ class Aggregator:
         for r in how["ranges"]:
             lo, hi = r.get("from"), r.get("to")
             key = r.get("key") or f"{self._shown(lo)}-{self._shown(hi)}"
-            one = lambda x, lo=lo, hi=hi: x.isNotNull() & (F.lit(True) if lo is None else self._number(x, f) >= float(lo)) & (F.lit(True) if hi is None else self._number(x, f) < float(hi))
+            one = _between(lambda x: self._number(x, f), None if lo is None else F.lit(float(lo)), None if hi is None else F.lit(float(hi)))
             tests.append((key, F.exists(c, one) if f.multi else one(c)))
             extra[key] = {"from": None if lo is None else float(lo), "to": None if hi is None else float(hi)}
         return self._ranges(level, name, tests, extra)
@@ -520,8 +526,7 @@ class Aggregator:
         for r in how["ranges"]:
             lo, hi = (None if r.get(k) is None else datemath.resolve(r[k], time_zone=how.get("time_zone")) for k in ("from", "to"))
             told = lambda t: "*" if t is None else t.isoformat(timespec="milliseconds") + "Z"
-            at = lambda t: F.lit(t).cast("timestamp_ntz")
-            one = lambda x, lo=lo, hi=hi: x.isNotNull() & (F.lit(True) if lo is None else x >= at(lo)) & (F.lit(True) if hi is None else x < at(hi))
+            one = _between(lambda x: x, *[None if t is None else F.lit(t).cast("timestamp_ntz") for t in (lo, hi)])
             tests.append((r.get("key") or f"{told(lo)}-{told(hi)}", F.exists(c, one) if f.multi else one(c)))
         return self._ranges(level, name, tests)
 
@@ -551,21 +556,24 @@ class Aggregator:
             extra[key] = {"from": None if lo is None else float(lo), "to": None if hi is None else float(hi)}
         return self._ranges(level, name, tests, extra)
 
+    def _source_key(self, kind: str, how: dict, f: Field) -> Callable[[Column], Column]:
+        """The key that a composite source makes of a value."""
+        if kind == "histogram":
+            step = float(how["interval"])
+            return lambda x: F.floor(self._number(x, f) / step) * step
+        if kind == "date_histogram":
+            return lambda x: self._rounded(x, how)[0]
+        if kind == "geotile_grid":
+            return lambda x: geo.geotile(x, int(how.get("precision", 7)))
+        return lambda x: x
+
     def b_composite(self, level: Level, name: str, how: dict) -> tuple:
         df, keys, dirs, gone = level.df, [], [], []
         for source in how["sources"]:
             n, spec = next(iter(source.items()))
             kind, s = next(iter(spec.items()))
             c, f = self._value(level, s)
-            if kind == "histogram":
-                step = float(s["interval"])
-                make = lambda x, step=step, f=f: F.floor(self._number(x, f) / step) * step
-            elif kind == "date_histogram":
-                make = lambda x, s=s: self._rounded(x, s)[0]
-            elif kind == "geotile_grid":
-                make = lambda x, s=s: geo.geotile(x, int(s.get("precision", 7)))
-            else:
-                make = lambda x: x
+            make = self._source_key(kind, s, f)
             missing = bool(s.get("missing_bucket"))
             df = df.withColumn(n, (F.explode_outer if missing else F.explode)(F.array_distinct(F.transform(c, make)))) if f.multi else df.withColumn(n, make(c))
             df = df if missing else df.where(F.col(n).isNotNull())
@@ -757,6 +765,8 @@ class Aggregator:
     def _sibling(self, level: Level, kind: str, how: dict, path: str, name: str) -> DataFrame:
         """A second aggregation, over the bucket rows of a sibling."""
         agg, _, target = how["buckets_path"].partition(">")
+        if f"{path}>{agg}" not in self.out and agg not in self.out and "." in agg:
+            agg, _, target = how["buckets_path"].partition(".")
         full = f"{path}>{agg}" if path else agg
         while target and f"{full}>{target.split('>')[0]}" in self.out:
             step, _, target = target.partition(">")

@@ -30,7 +30,6 @@ class Match(NamedTuple):
     score: Column
 
 
-
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -47,6 +46,10 @@ def _sum(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cs) if cs else F.lit(0.0)
 
 
+def _equals(value: object) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def _one(body: dict) -> tuple[str, object]:
     if len(body) != 1:
         raise ValueError(f"expected a single field or query, got {sorted(body)}")
@@ -309,7 +312,7 @@ class Compiler:
         out = []
         for t in terms:
             idf = math.log(1 + (n - freq[t] + 0.5) / (freq[t] + 0.5))
-            tf = F.size(F.filter(tokens, lambda x, t=t: x == t)).cast("double")
+            tf = F.size(F.filter(tokens, _equals(t))).cast("double")
             out.append(F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))
         return F.coalesce(_sum(out), F.lit(0.0))
 
