@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import math
 import re
@@ -45,6 +46,23 @@ def point(value: object) -> tuple[float, float]:
     return decode_geohash(str(value))
 
 
+def ip_key(c: Column) -> Column:
+    """An address as 32 hexadecimal digits that sort as addresses do; IPv4 stands under ::ffff. What is no address gives null."""
+    four = F.regexp_like(c, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$"))
+    v4 = F.array_join(F.transform(F.split(c, r"\."), lambda x: F.lpad(F.hex(x.try_cast("int")), 2, "0")), "")
+    halves = F.transform(F.split(c, "::", 2), lambda h: F.transform(F.filter(F.split(h, ":"), lambda x: x != ""), lambda x: F.lpad(F.upper(x), 4, "0")))
+    left, right = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.array().cast("array<string>"))
+    v6 = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), 8 - F.size(left) - F.size(right)), right), "")
+    return F.when(four, F.concat(F.lit("0" * 20 + "FFFF"), v4)).when(F.contains(c, F.lit(":")) & ~F.contains(c, F.lit(".")), v6)
+
+
+def ip_bounds(text: str) -> tuple[str, str]:
+    """The first and last address of one address or a CIDR block, as ``ip_key`` writes them."""
+    net = ipaddress.ip_network(text, strict=False)
+    shift = 0xFFFF << 32 if net.version == 4 else 0
+    return f"{int(net.network_address) + shift:032X}", f"{int(net.broadcast_address) + shift:032X}"
+
+
 def haversine(p: Column, lat: float | Column, lon: float | Column) -> Column:
     a, b = F.radians(p["lat"]), F.radians(F.lit(lat) if not isinstance(lat, Column) else lat)
     dx = (F.radians(F.lit(lon) if not isinstance(lon, Column) else lon) - F.radians(p["lon"])) / 2

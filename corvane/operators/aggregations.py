@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 import re
 from collections.abc import Callable
 from datetime import datetime
@@ -322,14 +321,14 @@ class Aggregator:
             rows.df = rows.df.where(self._included(F.col(name), how))
         return rows, lambda frame, _: frame.where(F.col("doc_count") <= int(how.get("max_doc_count", 1)))
 
-    def _significant(self, level: Level, name: str, how: dict, key: Column) -> tuple:
-        rows = self._with_key(level, name, key, True)
+    def _significant(self, level: Level, name: str, how: dict, key: Column, many: bool) -> tuple:
+        rows = self._with_key(level, name, key, many)
         back = self.whole
         if "background_filter" in how:
             c = Compiler(back, self.mapping, self.engine, False)
             m = c.compile(how["background_filter"])
             back = c.df.where(m.hit)
-        bg = self._with_key(Level(back, [], self.mapping), name, key, True).df.groupBy(name).agg(F.count("*").alias("bg_count"))
+        bg = self._with_key(Level(back, [], self.mapping), name, key, many).df.groupBy(name).agg(F.count("*").alias("bg_count"))
         n_bg = back.count()
 
         def finish(frame: DataFrame, rows: Level) -> DataFrame:
@@ -363,13 +362,13 @@ class Aggregator:
 
     def b_significant_terms(self, level: Level, name: str, how: dict) -> tuple:
         c, f = self._value(level, how)
-        return self._significant(level, name, how, c if f.multi else F.array(c))
+        return self._significant(level, name, how, c, f.multi)
 
     def b_significant_text(self, level: Level, name: str, how: dict) -> tuple:
         f = level.mapping.get(how["field"])
         if how.get("filter_duplicate_text"):
             level = Level(level.df.dropDuplicates([f.column]), level.keys, level.mapping, level.path)
-        return self._significant(level, name, how, level.mapping.tokens(f))
+        return self._significant(level, name, how, level.mapping.tokens(f), True)
 
     def _fill(self, frame: DataFrame, level: Level, name: str, how: dict, steps: object, default: int = 0) -> DataFrame:
         """Empty buckets between the first and last, or the extended bounds; the sequence is made from one row of bounds per parent."""
@@ -532,16 +531,14 @@ class Aggregator:
 
     def b_ip_range(self, level: Level, name: str, how: dict) -> tuple:
         c, _ = self._value(level, how)
-        number = F.aggregate(F.split(c, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
         tests = []
         for r in how["ranges"]:
             if "mask" in r:
-                net = ipaddress.ip_network(r["mask"], strict=False)
-                lo, hi, key = int(net.network_address), int(net.broadcast_address) + 1, r.get("key") or r["mask"]
+                lo, last = geo.ip_bounds(r["mask"])
+                tests.append((r.get("key") or r["mask"], geo.ip_key(c).between(lo, last)))
             else:
-                lo, hi = (int(ipaddress.ip_address(r[k])) if r.get(k) else None for k in ("from", "to"))
-                key = r.get("key") or f"{r.get('from', '*')}-{r.get('to', '*')}"
-            tests.append((key, c.isNotNull() & (F.lit(True) if lo is None else number >= lo) & (F.lit(True) if hi is None else number < hi)))
+                ends = [geo.ip_bounds(r[k])[0] if r.get(k) else None for k in ("from", "to")]
+                tests.append((r.get("key") or f"{r.get('from', '*')}-{r.get('to', '*')}", _between(geo.ip_key, *[None if e is None else F.lit(e) for e in ends])(c)))
         return self._ranges(level, name, tests)
 
     def b_geo_distance(self, level: Level, name: str, how: dict) -> tuple:
@@ -620,7 +617,7 @@ class Aggregator:
         own = Level(level.df, level.keys, level.mapping, level.path)
         tests = [(k, self._hit(own, q)) for k, q in given.items()]
         if how.get("other_bucket") or how.get("other_bucket_key"):
-            tests.append((how.get("other_bucket_key", "_other_"), ~reduce(lambda a, b: a | b, [t for _, t in tests])))
+            tests.append((how.get("other_bucket_key", "_other_"), ~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for _, t in tests])))
         return self._ranges(own, name, tests)
 
     def b_adjacency_matrix(self, level: Level, name: str, how: dict) -> Level:
@@ -680,12 +677,13 @@ class Aggregator:
     def _related(self, level: Level, how: dict, up: bool) -> Level:
         rel = self.engine.relation(how["type"])
         other = self.engine.index(rel.parent if up else rel.child)
+        source = other.df.where(rel.is_parent()) if up else rel.of_child(other.df)
         if up:
             ids = level.df.select(*level.keys, F.col(rel.parent_key).alias("_cv_p")).distinct()
-            df = other.df.withColumn("_id", F.col(other.id_col)).join(ids, F.col(other.id_col) == F.col("_cv_p")).drop("_cv_p")
+            df = source.withColumn("_id", F.col(other.id_col)).join(ids, F.col(other.id_col) == F.col("_cv_p")).drop("_cv_p")
         else:
             ids = level.df.select(*level.keys, F.col("_id").alias("_cv_p"))
-            df = other.df.withColumn("_id", F.col(other.id_col)).join(ids, F.col(rel.parent_key) == F.col("_cv_p")).drop("_cv_p")
+            df = source.withColumn("_id", F.col(other.id_col)).join(ids, F.col(rel.parent_key) == F.col("_cv_p")).drop("_cv_p")
         return Level(df, level.keys, other.mapping)
 
     def b_children(self, level: Level, name: str, how: dict) -> Level:

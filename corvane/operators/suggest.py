@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.positions import osa
-from corvane.plans.search import Index
+from corvane.plans.search import Engine, Index
 
 _CANDIDATES = "text string, suggestion string, score double, freq long"
 
@@ -110,3 +110,31 @@ def completion_suggest(df: DataFrame, prefix: str, how: dict) -> DataFrame:
     if how.get("skip_duplicates"):
         rows = rows.groupBy("text").agg(F.max("weight").alias("weight"), F.min("_id").alias("_id"))
     return rows.select("_id", "text", "weight").orderBy(F.desc("weight"), "text", "_id").limit(int(how.get("size", 5)))
+
+
+def suggest(engine: Engine, expression: str, body: dict) -> dict:
+    """The suggest section of a response: each named suggester's options for its text or prefix."""
+    out: dict = {}
+    ix = engine.resolve(expression)[0][0]
+    for name, how in body.items():
+        if name == "text":
+            continue
+        text = how.get("text", how.get("prefix", body.get("text", "")))
+        if "completion" in how:
+            rows = completion_suggest(ix.df.withColumn("_id", F.col(ix.id_col)), how.get("prefix", text), how["completion"]).collect()
+            options = [{"text": r["text"], "_id": str(r["_id"]), "_score": float(r["weight"])} for r in rows]
+            out[name] = [{"text": text, "offset": 0, "length": len(text), "options": options}]
+        elif "phrase" in how:
+            out[name] = [{"text": text, "offset": 0, "length": len(text), "options": [{"text": t, "score": s} for t, s in phrase_suggest(ix, text, how["phrase"])]}]
+        else:
+            found: dict[str, list] = defaultdict(list)
+            for r in term_suggest(ix, text, how["term"]).collect():
+                found[r["text"]].append({"text": r["suggestion"], "score": r["score"], "freq": r["freq"]})
+            words = list(ix.df.sparkSession.range(1).select(ix.mapping.analyzed(ix.mapping.get(how["term"]["field"]), text).alias("t")).first()["t"])
+            at, entries = 0, []
+            for w in words:
+                start = text.lower().find(w.lower(), at)
+                at = max(start, 0) + len(w)
+                entries.append({"text": w, "offset": max(start, 0), "length": len(w), "options": found.get(w, [])})
+            out[name] = entries
+    return out

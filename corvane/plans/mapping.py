@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,12 @@ TEXT = {"text", "match_only_text", "search_as_you_type"}
 KEYWORD = {"keyword", "wildcard", "constant_keyword", "version", "ip", "flat_object"}
 RANGES = {"integer_range", "long_range", "float_range", "double_range", "date_range", "ip_range"}
 TYPES = NUMERIC | TEXT | KEYWORD | RANGES | {"boolean", "date", "date_nanos", "object", "nested", "geo_point", "geo_shape", "xy_point", "xy_shape", "join", "rank_features", "knn_vector", "completion", "binary", "alias", "percolator"}
+#: Token filters of the fields that a search_as_you_type field brings with it.
+SAYT = {
+    "_2gram": ["lowercase", {"type": "shingle", "min_shingle_size": 2, "max_shingle_size": 2, "output_unigrams": False}],
+    "_3gram": ["lowercase", {"type": "shingle", "min_shingle_size": 3, "max_shingle_size": 3, "output_unigrams": False}],
+    "_index_prefix": ["lowercase", {"type": "shingle", "min_shingle_size": 2, "max_shingle_size": 3}, {"type": "edge_ngram", "min_gram": 1, "max_gram": 20}],
+}
 _CASTS = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint", "double": "double", "float": "float", "half_float": "float", "unsigned_long": "decimal(20,0)", "boolean": "boolean"}
 
 
@@ -55,6 +62,7 @@ class Mapping:
     def __init__(self, df: DataFrame, properties: dict | None = None, settings: dict | None = None) -> None:
         self.settings = settings or {}
         self.fields: dict[str, Field] = {}
+        self.declared = dict(properties or {})
         self._infer("", df.schema)
         for name, how in (properties or {}).items():
             self._declare(name, dict(how))
@@ -82,11 +90,27 @@ class Mapping:
         for sub, more in how.get("fields", {}).items():
             self._declare(f"{name}.{sub}", {**more, "column": column})
             self.fields[f"{name}.{sub}"].multi = at.multi
+        if kind == "search_as_you_type":
+            for sub, filters in SAYT.items():
+                self.fields[f"{name}.{sub}"] = Field(f"{name}.{sub}", "text", column, at.multi, {"tokenizer": "standard", "filter": filters}, params={"derived": True})
         for sub, more in how.get("properties", {}).items():
             self._declare(f"{name}.{sub}", more)
 
     def get(self, name: str) -> Field | None:
-        return self.fields.get(name)
+        """A field by name; ``a.b`` is also the entry b of a map a, be it a flat object or features."""
+        if name in self.fields or "." not in name:
+            return self.fields.get(name)
+        at = name.index(".")
+        while at > 0:
+            base = self.fields.get(name[:at])
+            if base and base.type in ("flat_object", "rank_features"):
+                return Field(name, "keyword" if base.type == "flat_object" else "rank_feature", base.column, False, params={"entry": name[at + 1 :]})
+            at = name.find(".", at + 1)
+        return None
+
+    def properties(self) -> dict:
+        """The mapping as it is told: what was declared, and the types that columns stand for."""
+        return {n: self.declared.get(n, {"type": f.type}) for n, f in self.fields.items() if "." not in n and n != "_id"} | {n: how for n, how in self.declared.items() if n not in self.fields}
 
     def match(self, pattern: str) -> list[str]:
         return [n for n in self.fields if fnmatch.fnmatchcase(n, pattern)]
@@ -95,6 +119,8 @@ class Mapping:
         """The field's value, with ignore_above, null_value, normalizer and scaling applied."""
         c = F.col(".".join(f"`{p}`" for p in f.column.split(".")))
         p = f.params
+        if "entry" in p:
+            return F.try_element_at(c, F.lit(p["entry"]))
         if "null_value" in p:
             c = F.coalesce(c, F.lit(p["null_value"]))
         if "ignore_above" in p:
@@ -125,6 +151,29 @@ class Mapping:
         return analyze(F.lit(str(text)), analyzer or f.search_analyzer or f.analyzer, self.settings)
 
 
+def spark_type(how: dict) -> str:
+    """The Spark type of a declared field."""
+    kind = how.get("type", "object")
+    if kind in ("object", "nested") and how.get("properties"):
+        inner = "struct<" + ",".join(f"`{n}`:{spark_type(h)}" for n, h in how["properties"].items()) + ">"
+        return f"array<{inner}>" if kind == "nested" else inner
+    if kind in RANGES:
+        bound = {"integer_range": "int", "long_range": "bigint", "float_range": "float", "double_range": "double", "date_range": "timestamp_ntz", "ip_range": "string"}[kind]
+        return f"struct<gte:{bound},lte:{bound}>"
+    return _CASTS.get(kind) or {"date": "timestamp_ntz", "date_nanos": "timestamp_ntz", "scaled_float": "double", "geo_point": "struct<lat:double,lon:double>", "binary": "binary", "rank_feature": "float", "rank_features": "map<string,float>", "flat_object": "map<string,string>", "knn_vector": "array<float>", "join": "struct<name:string,parent:string>", "completion": "array<struct<input:array<string>,weight:bigint,contexts:map<string,array<string>>>>", "xy_point": "struct<x:double,y:double>"}.get(kind, "string")
+
+
+def id_in(df: DataFrame, id_col: str, values: list) -> Column:
+    """Whether a row's id is one of ``values``. These take the id's type, not the other way round, so that the scan can use them; one that cannot is no row's id."""
+    kind = dict(df.dtypes)[id_col]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        whole = [int(str(v)) for v in values if re.fullmatch(r"-?\d{1,19}", str(v))]
+        bits = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[kind]
+        return F.col(id_col).isin([F.lit(v).cast(kind) for v in whole if -(1 << bits) <= v < 1 << bits])
+    c = F.col(id_col) if kind == "string" else F.col(id_col).cast("string")
+    return c.isin([str(v) for v in values])
+
+
 def coerce(df: DataFrame, properties: dict) -> DataFrame:
     """Cast raw columns to their mapped types; a value that does not fit becomes null and its field is told in ``_ignored``. copy_to fields gather their sources."""
     out, bad = {}, []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import datemath, geo, patterns, positions
 from corvane.functions.scripts import Script
-from corvane.plans.mapping import NUMERIC, RANGES, TEXT, Field, Mapping
+from corvane.plans.mapping import NUMERIC, RANGES, TEXT, Field, Mapping, id_in
 
 if TYPE_CHECKING:
     from corvane.plans.search import Engine
@@ -24,7 +24,7 @@ REJECTED = {"knn", "neural", "neural_sparse", "percolate", "xy_shape", "hybrid",
 
 
 class Match(NamedTuple):
-    """Whether a row matches (never null), and its score where it does."""
+    """Whether a row matches, where null stands for no, and its score where it does. Left nullable so that the scan can take over the comparisons."""
 
     hit: Column
     score: Column
@@ -62,6 +62,7 @@ class Compiler:
     def __init__(self, df: DataFrame, mapping: Mapping, engine: Engine | None = None, scoring: bool = False, id_col: str = "_id") -> None:
         self.df, self.mapping, self.engine, self.scoring, self.id_col = df, mapping, engine, scoring, id_col
         self.named: dict[str, Column] = {}
+        self.inner: dict[str, Column] = {}
         self._stats: dict[str, object] = {}
         self._n = 0
 
@@ -80,7 +81,7 @@ class Compiler:
         inner = next(iter(options.values())) if len(options) == 1 and isinstance(next(iter(options.values())), dict) and kind not in ("bool", "constant_score", "nested", "function_score", "boosting", "dis_max") else {}
         m = f(body)
         boost = float(inner.get("boost", options.get("boost", 1.0)) if kind not in ("constant_score",) else 1.0)
-        m = Match(_sure(m.hit), m.score * boost if boost != 1.0 else m.score)
+        m = Match(m.hit, m.score * boost if boost != 1.0 else m.score)
         name = options.get("_name") or inner.get("_name")
         if name:
             self.named[name] = m.hit
@@ -132,6 +133,9 @@ class Compiler:
             return self._const((c["gte"] <= v) & (c["lte"] >= v))
         if f.type == "flat_object":
             return self._const(F.array_contains(F.map_values(self.mapping.column(f)), str(v)))
+        if f.type == "ip":
+            lo, hi = geo.ip_bounds(str(v))
+            return self._const(self._on(f, lambda x: geo.ip_key(x).between(lo, hi)))
         value = self._value(f, v)
         if value is None:
             return self._const(F.lit(False))
@@ -147,13 +151,15 @@ class Compiler:
             return self._const(F.lit(False))
         if isinstance(values, dict):
             return self._const(self._terms_lookup(f, values))
+        if f.type == "ip":
+            return self._const(_any([self.q_term({name: v}).hit for v in values]))
         known = [x for x in (self._value(f, v) for v in values) if x is not None]
         return self._const(self._on(f, lambda x: x.isin(known)) if known else F.lit(False))
 
     def _terms_lookup(self, f: Field, how: dict) -> Column:
         """Values of another index's field, by id or query: a join on distinct values."""
         other = self.engine.index(how["index"])
-        rows = other.df.where(F.col(other.id_col).cast("string") == str(how["id"])) if "id" in how else other.filtered(how.get("query"))
+        rows = other.df.where(id_in(other.df, other.id_col, [how["id"]])) if "id" in how else other.filtered(how.get("query"))
         at = other.mapping.get(how["path"])
         c = other.mapping.column(at)
         found = rows.select((F.explode(c) if at.multi else c).alias("v")).where("v is not null").distinct()
@@ -181,7 +187,7 @@ class Compiler:
             return self._const(F.lit(False))
         values = F.array(*[F.lit(str(t)) for t in how["terms"]])
         need = self.mapping.column(self._field(how["minimum_should_match_field"]))
-        return self._const(F.size(F.array_intersect(self.mapping.tokens(f), values)) >= F.greatest(F.lit(1), need))
+        return self._const(F.size(F.array_intersect(self.mapping.tokens(f), values)) >= F.when(need.isNotNull(), F.greatest(F.lit(1), need)))
 
     def _bound(self, f: Field, v: object, op: str, how: dict) -> Column:
         if f.type in ("date", "date_nanos", "date_range"):
@@ -216,6 +222,9 @@ class Compiler:
                 else:
                     tests.append(c["gte"] <= v if k in lo else c["lte"] >= v)
             return self._const(c.isNotNull() & _all(tests))
+        if f.type == "ip":
+            bounds = {k: F.lit(geo.ip_bounds(str(how[k]))[k in ("lte", "gt")]) for k in bounds}
+            return self._const(self._on(f, lambda x: _all([ops[k](geo.ip_key(x), v) for k, v in bounds.items()])))
         return self._const(self._on(f, lambda x: _all([x.isNotNull(), *[ops[k](x, v) for k, v in bounds.items()]])))
 
     def _exists(self, name: str) -> Column:
@@ -262,7 +271,7 @@ class Compiler:
         return F.exists(tokens, lambda x: (F.levenshtein(x, F.lit(term)) <= edits) & (F.substring(x, 1, prefix) == term[:prefix]))
 
     def q_ids(self, body: dict) -> Match:
-        return self._const(F.col(self.id_col).cast("string").isin([str(v) for v in body["values"]]))
+        return self._const(id_in(self.df, self.id_col, body["values"]))
 
     def script(self, how: dict | str, score: Column | None = None) -> Column:
         how = {"source": how} if isinstance(how, str) else how
@@ -500,7 +509,7 @@ class Compiler:
                 for t in self._terms_of(f, text):
                     counts[t] = counts.get(t, 0) + 1
             if ids:
-                for r in self.df.where(F.col(self.id_col).cast("string").isin(ids)).select(F.explode(tokens).alias("t")).groupBy("t").count().collect():
+                for r in self.df.where(id_in(self.df, self.id_col, ids)).select(F.explode(tokens).alias("t")).groupBy("t").count().collect():
                     counts[r["t"]] = counts.get(r["t"], 0) + r["count"]
             counts = {t: c for t, c in counts.items() if c >= body.get("min_term_freq", 2) and len(t) >= body.get("min_word_length", 0) and t not in body.get("stop_words", ())}
             if not counts:
@@ -517,7 +526,7 @@ class Compiler:
             return self._const(F.lit(False))
         hit = _sum([_sure(h).cast("int") for h in hits]) >= max(1, patterns.minimum_should_match(body.get("minimum_should_match", "30%"), n_terms))
         if ids and not body.get("include", False):
-            hit = hit & ~F.col(self.id_col).cast("string").isin(ids)
+            hit = hit & ~id_in(self.df, self.id_col, ids)
         return self._const(hit)
 
     # -- compound
@@ -527,12 +536,12 @@ class Compiler:
         must, keep, should, never = (parts.get(k, []) for k in ("must", "filter", "should", "must_not"))
         if sum(map(len, (must, keep, should, never))) > MAX_CLAUSES:
             raise ValueError("too_many_clauses")
-        tests = [m.hit for m in must + keep] + [~m.hit for m in never]
+        tests = [m.hit for m in must + keep] + [~_sure(m.hit) for m in never]
         required = bool(must or keep)
         need = patterns.minimum_should_match(body["minimum_should_match"], len(should)) if "minimum_should_match" in body else 0 if required else 1
         need = max(need, 0 if required else 1)
         if should and need:
-            tests.append(_any([m.hit for m in should]) if need == 1 else _sum([m.hit.cast("int") for m in should]) >= need)
+            tests.append(_any([m.hit for m in should]) if need == 1 else _sum([_sure(m.hit).cast("int") for m in should]) >= need)
         score = _sum([m.score for m in must] + [F.when(m.hit, m.score).otherwise(0.0) for m in should]) if must or should else F.lit(0.0 if keep else 1.0)
         return Match(_all(tests), score)
 
@@ -667,6 +676,8 @@ class Compiler:
             return self._const(F.lit(False))
         c = self.mapping.column(f)
         inner = Nested(self, body["path"])
+        if "inner_hits" in body:
+            self.inner[body["inner_hits"].get("name", body["path"])] = self._inner_hits(c, inner, body)
         if body.get("score_mode", "avg") == "none" or not self.scoring:
             return self._const(F.exists(c, lambda x: inner.at(x, body["query"]).hit))
         pairs = F.filter(F.transform(c, lambda x: F.struct(inner.at(x, body["query"]).hit.alias("h"), inner.at(x, body["query"]).score.cast("double").alias("s"))), lambda p: p["h"])
@@ -675,27 +686,44 @@ class Compiler:
         s = {"avg": total / F.size(pairs), "sum": total, "min": F.array_min(scores), "max": F.array_max(scores)}[body.get("score_mode", "avg")]
         return Match(_sure(F.size(pairs) > 0), s)
 
+    def _inner_hits(self, elements: Column, inner: Nested, body: dict) -> Column:
+        """The elements that match, with their place in the array: sorted by one field or in place order, a slice of them."""
+        how, path = body["inner_hits"], body["path"]
+        sort = how.get("sort", [])
+        name, spec = next(iter(s.items())) if (s := (sort[0] if isinstance(sort, list) and sort else sort)) and isinstance(s, dict) else (s or None, "asc")
+        down = (spec if isinstance(spec, str) else spec.get("order", "asc")) == "desc"
+
+        def told(x: Column, i: Column) -> Column:
+            key = x[name.removeprefix(path + ".")] if name else F.lit(0)
+            return F.struct(key.alias("key"), (-i if down else i).alias("place"), i.alias("offset"), x.alias("source"))
+
+        found = F.sort_array(F.filter(F.transform(elements, told), lambda t: inner.at(t["source"], body["query"]).hit), not down)
+        return F.transform(F.slice(found, int(how.get("from", 0)) + 1, int(how.get("size", 3))), lambda t: F.struct(t["offset"].alias("offset"), t["source"].alias("source")))
+
     def q_has_child(self, body: dict) -> Match:
         """Parents with enough matching children: the children are counted by parent, then joined."""
         rel = self.engine.relation(body["type"])
         rows, score = self.engine.index(rel.child).scored(body["query"], scoring=body.get("score_mode", "none") != "none")
+        rows = rel.of_child(rows)
         n, s = self._name(), self._name()
         per = rows.groupBy(F.col(rel.parent_key).alias(f"{n}_k")).agg(F.count("*").alias(n), {"sum": F.sum, "min": F.min, "max": F.max}.get(body.get("score_mode"), F.avg)(score).alias(s))
         self.df = self.df.join(per, F.col(self.id_col) == F.col(f"{n}_k"), "left").drop(f"{n}_k")
-        hit = (F.col(n) >= max(1, int(body.get("min_children", 1)))) & (F.col(n) <= int(body.get("max_children", 2**31 - 1)))
+        hit = rel.is_parent() & (F.col(n) >= max(1, int(body.get("min_children", 1)))) & (F.col(n) <= int(body.get("max_children", 2**31 - 1)))
         return Match(hit, F.col(s) if body.get("score_mode", "none") != "none" else F.lit(1.0))
 
     def q_has_parent(self, body: dict) -> Match:
-        rel = self.engine.relation(body.get("child_type") or next(r.name for r in self.engine.relations.values() if r.parent == body["parent_type"]))
+        rel = self.engine.relation(body.get("child_type") or next(r.name for r in self.engine.relations.values() if (r.parent_kind or r.parent) == body["parent_type"]))
         parent = self.engine.index(rel.parent)
         rows, score = parent.scored(body["query"], scoring=bool(body.get("score")))
+        rows = rows.where(rel.is_parent())
         s = self._name()
         per = rows.select(F.col(parent.id_col).alias(f"{s}_k"), score.alias(s))
         self.df = self.df.join(per, F.col(rel.parent_key) == F.col(f"{s}_k"), "left").drop(f"{s}_k")
         return Match(F.col(s).isNotNull(), F.col(s) if body.get("score") else F.lit(1.0))
 
     def q_parent_id(self, body: dict) -> Match:
-        return self._const(F.col(self.engine.relation(body["type"]).parent_key).cast("string") == str(body["id"]))
+        rel = self.engine.relation(body["type"])
+        return self._const(rel.is_child() & (F.col(rel.parent_key).cast("string") == str(body["id"])))
 
     # -- geo
 

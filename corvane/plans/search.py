@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions import datemath, geo
 from corvane.operators.aggregations import Aggregator
 from corvane.operators.highlight import highlighted
-from corvane.plans.mapping import TEXT, Field, Mapping
+from corvane.plans.mapping import TEXT, Field, Mapping, id_in
 from corvane.plans.query import Compiler
 
 MAX_WINDOW = 10_000
@@ -41,12 +42,23 @@ class Index:
 
 @dataclass(frozen=True)
 class Relation:
-    """A parent and child relation: the child index's column that holds the parent's id."""
+    """A parent and child relation: the child index's column that holds the parent's id. Where both live in one index, ``kind_col`` tells parents (``parent_kind``) from children (``name``)."""
 
     name: str
     parent: str
     child: str
     parent_key: str
+    kind_col: str | None = None
+    parent_kind: str | None = None
+
+    def is_parent(self) -> Column:
+        return F.col(self.kind_col) == self.parent_kind if self.kind_col else F.lit(True)
+
+    def is_child(self) -> Column:
+        return F.col(self.kind_col) == self.name if self.kind_col else F.lit(True)
+
+    def of_child(self, df: DataFrame) -> DataFrame:
+        return df.where(self.is_child()) if self.kind_col else df
 
 
 @dataclass
@@ -57,13 +69,25 @@ class Engine:
     indices: dict[str, Index] = field(default_factory=dict)
     aliases: dict[str, dict[str, dict | None]] = field(default_factory=dict)
     relations: dict[str, Relation] = field(default_factory=dict)
+    points: dict[str, tuple[Engine, str]] = field(default_factory=dict)
+    scrolls: dict[str, Scroll] = field(default_factory=dict)
 
     def create(self, name: str, df: DataFrame, properties: dict | None = None, settings: dict | None = None, id_col: str = "_id") -> Index:
         if id_col not in df.columns:
             raise ValueError(f"index [{name}] has no id column [{id_col}]")
         self.indices[name] = Index(name, df, Mapping(df, properties, settings), self, id_col)
+        for field_name, how in (properties or {}).items():
+            if how.get("type") == "join":
+                for parent, children in how["relations"].items():
+                    for child in _listed(children):
+                        self.relations[child] = Relation(child, name, name, f"{field_name}.parent", f"{field_name}.name", parent)
         return self.indices[name]
 
+    def drop(self, name: str) -> None:
+        """Remove an index, and it from its aliases."""
+        del self.indices[name]
+        self.aliases = {a: t for a, t in ((a, {i: q for i, q in t.items() if i != name}) for a, t in self.aliases.items()) if t}
+
     def clone(self) -> Engine:
         """A copy that shares all data; writes to either do not show in the other."""
         out = Engine(self.spark, {}, {k: dict(v) for k, v in self.aliases.items()}, dict(self.relations))
@@ -101,7 +125,26 @@ class Engine:
         return [(self.indices[n], q) for n, q in out.items()]
 
     def search(self, expression: str, body: dict | None = None) -> SearchResult:
-        return Search(self, expression, body or {}).run()
+        body = body or {}
+        if "pit" in body:
+            engine, expression = self.points[body["pit"]["id"]]
+            return Search(engine, expression, body).run()
+        return Search(self, expression, body).run()
+
+    def open_point(self, expression: str) -> str:
+        """A point in time: the indices as they are now, kept under an id until it is closed."""
+        self.resolve(expression)
+        key = uuid.uuid4().hex
+        self.points[key] = (self.clone(), expression)
+        return key
+
+    def close_point(self, key: str) -> bool:
+        return self.points.pop(key, None) is not None
+
+    def scroll(self, expression: str, body: dict | None = None) -> str:
+        key = uuid.uuid4().hex
+        self.scrolls[key] = Scroll(self, expression, body or {})
+        return key
 
     def count(self, expression: str, query: dict | None = None) -> int:
         return Search(self, expression, {"query": query}).base.count()
@@ -115,8 +158,8 @@ class Engine:
         c = Compiler(ix.df, ix.mapping, self, True, ix.id_col)
         m = c.compile(query)
         clauses = [(f"{k}[{i}]", c.compile(q)) for k in ("must", "filter", "should", "must_not") for i, q in enumerate(_listed(query.get("bool", {}).get(k)))]
-        parts = F.array(*[F.struct(F.lit(n).alias("clause"), x.hit.alias("matched"), x.score.cast("double").alias("value")) for n, x in clauses]) if clauses else F.array().cast("array<struct<clause:string,matched:boolean,value:double>>")
-        return c.df.where(F.col(ix.id_col).cast("string") == str(doc_id)).select(F.col(ix.id_col), m.hit.alias("matched"), F.when(m.hit, m.score).otherwise(0.0).alias("value"), parts.alias("details"))
+        parts = F.array(*[F.struct(F.lit(n).alias("clause"), F.coalesce(x.hit, F.lit(False)).alias("matched"), x.score.cast("double").alias("value")) for n, x in clauses]) if clauses else F.array().cast("array<struct<clause:string,matched:boolean,value:double>>")
+        return c.df.where(id_in(ix.df, ix.id_col, [doc_id])).select(F.col(ix.id_col), F.coalesce(m.hit, F.lit(False)).alias("matched"), F.when(m.hit, m.score).otherwise(0.0).alias("value"), parts.alias("details"))
 
     def field_caps(self, expression: str, fields: str = "*") -> DataFrame:
         """Type, searchable and aggregatable by field and index."""
@@ -137,7 +180,7 @@ class Engine:
         out = []
         for n in fields:
             tokens = ix.mapping.tokens(ix.mapping.get(n))
-            own = ix.df.where(F.col(ix.id_col).cast("string") == str(doc_id)).select(F.posexplode(tokens).alias("pos", "term")).groupBy("term").agg(F.count("*").alias("term_freq"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            own = ix.df.where(id_in(ix.df, ix.id_col, [doc_id])).select(F.posexplode(tokens).alias("pos", "term")).groupBy("term").agg(F.count("*").alias("term_freq"), F.sort_array(F.collect_list("pos")).alias("positions"))
             if statistics:
                 all_of = ix.df.select(F.col(ix.id_col).alias("i"), F.explode(tokens).alias("term")).groupBy("term").agg(F.count_distinct("i").alias("doc_freq"), F.count("*").alias("ttf"))
                 own = own.join(all_of, "term")
@@ -156,11 +199,35 @@ class SearchResult:
     hits: DataFrame
     aggregations: dict[str, DataFrame]
     matched: DataFrame
+    search: Search | None = None
 
     def total(self) -> int:
         return self.matched.count()
 
 
+class Scroll:
+    """All hits of a request, page by page. Each page is a bounded top-k past the last row of the one before, over the indices as they were at the start."""
+
+    def __init__(self, engine: Engine, expression: str, body: dict) -> None:
+        if body.get("from"):
+            raise ValueError("`from` parameter must be set to 0 when `scroll` is used")
+        self.size = int(body.get("size", 10))
+        self.search = Search(engine.clone(), expression, {k: v for k, v in body.items() if k not in ("aggs", "aggregations")})
+        self.search.run()
+        self.last: list | None = None
+
+    def next(self) -> list:
+        """The next page's rows; empty at the end."""
+        order = self.search.order
+        keyed = self.search.hits if self.last is None else self.search.hits.where(Search._beyond(order, self.last))
+        keys = [f"_cv_s{i}" for i in range(len(order))]
+        page = keyed.withColumns({k: c for k, (c, _) in zip(keys, order, strict=True)}).orderBy(*Search._sorted(order)).limit(self.size)
+        rows = page.select(F.struct(*[F.col(k) for k in keys]).alias("_cv_keys"), F.struct(*self.search._columns(page)).alias("_cv_hit")).collect()
+        if rows:
+            self.last = list(rows[-1]["_cv_keys"])
+        return [r["_cv_hit"] for r in rows]
+
+
 class Search:
     """One request, in the order: match, min_score, slice (these count for aggregations), post_filter, rescore, collapse, search_after, page, fetch."""
 
@@ -169,7 +236,7 @@ class Search:
     def __init__(self, engine: Engine, expression: str, body: dict) -> None:
         if unknown := set(body) - self.KNOWN:
             raise ValueError(f"unknown key {sorted(unknown)}")
-        self.engine, self.body = engine, body
+        self.engine, self.body, self.expression = engine, body, expression
         targets = engine.resolve(expression)
         if not targets:
             raise ValueError(f"no such index [{expression}]")
@@ -195,7 +262,9 @@ class Search:
         out = c.df.where(m.hit & guard).withColumn("_score", (m.score * boost).cast("double"))
         if c.named:
             out = out.withColumn("matched_queries", F.array_compact(F.array(*[F.when(F.coalesce(h, F.lit(False)), F.lit(n)) for n, h in c.named.items()])))
-        out = out.drop(*[x for x in out.columns if x.startswith("_cv_j")]) if not c.named else out
+        if c.inner:
+            out = out.withColumns({f"inner_hits.{n}": v for n, v in c.inner.items()})
+        out = out.drop(*[x for x in out.columns if x.startswith("_cv_j")])
         if "min_score" in self.body:
             out = out.where(F.col("_score") >= float(self.body["min_score"]))
         if "slice" in self.body:
@@ -285,6 +354,16 @@ class Search:
             equal = equal & (c == v)
         return df.where(reduce(lambda a, b: a | b, tests))
 
+    @staticmethod
+    def _beyond(order: list[tuple[Column, bool]], values: list) -> Column:
+        """Rows past a row's values of the whole order. Missing values' places come before the keys, so among rows of equal places a null key is equal to another."""
+        tests, equal = [], F.lit(True)
+        for (c, asc), v in zip(order, values, strict=True):
+            if v is not None:
+                tests.append(equal & F.coalesce(c > F.lit(v) if asc else c < F.lit(v), F.lit(False)))
+            equal = equal & c.eqNullSafe(F.lit(v))
+        return reduce(lambda a, b: a | b, tests)
+
     # -- run
 
     def run(self) -> SearchResult:
@@ -303,10 +382,11 @@ class Search:
         size, start = int(body.get("size", 10)), int(body.get("from", 0))
         if size + start > MAX_WINDOW:
             raise ValueError(f"Result window is too large, from + size must be less than or equal to: [{MAX_WINDOW}] but was [{size + start}]")
+        self.hits, self.order = hits, order
         page = hits.orderBy(*self._sorted(order)).offset(start).limit(size)
         aggs = body.get("aggs") or body.get("aggregations") or {}
         made = Aggregator(self.base, self.whole, self.mapping, self.engine).run(aggs) if aggs else {}
-        return SearchResult(self._fetch(page), made, self.base)
+        return SearchResult(self._fetch(page), made, self.base, self)
 
     def _rescore(self, hits: DataFrame, r: dict) -> DataFrame:
         """The best ``window_size`` rows by score get a combined score; the window is a bounded top-k, joined by id."""
@@ -333,12 +413,16 @@ class Search:
         return out.where("_cv_rank = 1").drop("_cv_rank")
 
     def _fetch(self, page: DataFrame) -> DataFrame:
+        return page.select(*self._columns(page))
+
+    def _columns(self, page: DataFrame) -> list[Column]:
         """Metadata, the filtered source, and what else was asked for of each hit."""
-        body, own = self.body, [c for c in page.columns if not c.startswith(("_cv_", "_j")) and c not in ("_index", "_id", "_score", "matched_queries")]
+        body, own = self.body, [c for c in page.columns if not c.startswith(("_cv_", "_j")) and not c.startswith("inner_hits.") and c not in ("_index", "_id", "_score", "matched_queries")]
         kept = self._source(own, body.get("_source", True))
         out = [F.col("_index"), F.col("_id"), *([F.col("_score")] if self.scoring else []), *[F.col(f"`{c}`") for c in kept]]
         if "matched_queries" in page.columns:
             out.append(F.col("matched_queries"))
+        out += [F.col(f"`{c}`") for c in page.columns if c.startswith("inner_hits.")]
         for spec in [*_listed(body.get("fields")), *_listed(body.get("docvalue_fields"))]:
             name, fmt = (spec, None) if isinstance(spec, str) else (spec["field"], spec.get("format"))
             for n in self.mapping.match(name) if "*" in name else [name]:
@@ -351,7 +435,7 @@ class Search:
         seen: set[str] = set()
         names = [c for c in page.select(*out).columns]
         keep = [i for i, n in enumerate(names) if not (n in seen or seen.add(n))]
-        return page.select(*[out[i] for i in keep])
+        return [out[i] for i in keep]
 
     @staticmethod
     def _source(columns: list[str], spec: object) -> list[str]:

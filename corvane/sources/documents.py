@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.mapping import coerce, dynamic_properties
+from corvane.plans.mapping import coerce, dynamic_properties, id_in
 from corvane.plans.query import Compiler
 from corvane.plans.search import Engine, Index
 
@@ -42,7 +44,7 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
     there = F.when(F.col("_cv_before").isNull(), F.col("_cv_old").isNotNull()).otherwise(F.col("_cv_before") != "delete")
     status = F.when((F.col("op") == "create") & there, 409).when(F.col("op").isin("update", "delete") & ~there, 404).when((F.col("op") == "index") & ~there | (F.col("op") == "create"), 201).otherwise(200)
     result = F.when(status == 409, "version_conflict").when(status == 404, "not_found").when(F.col("op") == "delete", "deleted").when(status == 201, "created").otherwise("updated")
-    results = told.select("op", F.col(id_col).alias("_id"), status.alias("status"), result.alias("result"))
+    results = told.select("op", F.col(id_col).alias("_id"), status.alias("status"), result.alias("result"), "n")
     good = told.withColumn("status", status).where("status < 400")
     last = good.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("file"), F.desc("block"), F.desc("n")))).where("r = 1")
     source = F.when(F.col("op") == "update", F.coalesce(F.get_json_object("source", "$.doc"), F.col("source"))).otherwise(F.col("source"))
@@ -53,10 +55,22 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
         untouched = old.df.join(last.select(id_col), id_col, "left_anti")
         merged = new.alias("n").join(old.df.alias("o"), id_col, "left")
         both = merged.select(id_col, *[(F.when(F.col("op") == "update", F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).otherwise(F.col(f"n.{c}")) if c in old.df.columns else F.col(f"n.{c}")).alias(c) for c in fields])
-        df, props = untouched.unionByName(both, allowMissingColumns=True), {n: f.params for n, f in old.mapping.fields.items() if f.params}
+        df, props = untouched.unionByName(both, allowMissingColumns=True), old.mapping.declared
     else:
         df, props = new.drop("op"), dynamic_properties(new.drop("op", id_col))
-    return engine.create(name, df, props, id_col=id_col), results
+    return engine.create(name, df, props, engine.indices[name].mapping.settings if name in engine.indices else None, id_col), results
+
+
+def compact(engine: Engine, name: str) -> Index:
+    """Write an index once to the shared folder and read it from there, so that a chain of writes does not grow its plan."""
+    ix, spark = engine.index(name), engine.spark
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/corvane-index-{uuid.uuid4().hex}"
+    ix.df.write.parquet(path)
+    return engine.create(name, spark.read.schema(ix.df.schema).parquet(path), ix.mapping.declared, ix.mapping.settings, ix.id_col)
 
 
 def index_documents(engine: Engine, name: str, docs: DataFrame, properties: dict | None = None, id_col: str = "_id") -> Index:
@@ -97,7 +111,7 @@ def update_by_query(engine: Engine, name: str, query: dict, changes: dict[str, C
 def update(engine: Engine, name: str, doc_id: object, partial: dict, upsert_doc: dict | None = None, doc_as_upsert: bool = False) -> Index:
     """Merge a partial document into one row, or add it."""
     ix = engine.index(name)
-    here = F.col(ix.id_col).cast("string") == str(doc_id)
+    here = id_in(ix.df, ix.id_col, [doc_id])
     if ix.df.where(here).isEmpty():
         doc = partial if doc_as_upsert else upsert_doc
         if doc is None:
@@ -113,7 +127,7 @@ def update(engine: Engine, name: str, doc_id: object, partial: dict, upsert_doc:
 
 def get(engine: Engine, name: str, doc_id: object) -> DataFrame:
     ix = engine.index(name)
-    return ix.df.where(F.col(ix.id_col).cast("string") == str(doc_id))
+    return ix.df.where(id_in(ix.df, ix.id_col, [doc_id]))
 
 
 def mget(engine: Engine, wanted: list[tuple[str, object]]) -> DataFrame:
@@ -133,7 +147,7 @@ def reindex(engine: Engine, source: str, dest: str, query: dict | None = None, c
     rows = ix.filtered(query).select(*([ix.id_col, *[c for c in columns if c != ix.id_col]] if columns else ix.df.columns))
     rows = rows.orderBy(ix.id_col).limit(max_docs) if max_docs is not None else rows
     if dest not in engine.indices:
-        return engine.create(dest, rows, {n: f.params for n, f in ix.mapping.fields.items() if f.params}, ix.mapping.settings, ix.id_col)
+        return engine.create(dest, rows, {n: how for n, how in ix.mapping.declared.items() if n in rows.columns or how.get("type") == "alias"}, ix.mapping.settings, ix.id_col)
     if op_type == "create":
         rows = rows.join(engine.index(dest).df.select(ix.id_col), ix.id_col, "left_anti")
     return upsert(engine, dest, rows)
