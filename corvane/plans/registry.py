@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from corvane.functions.analysis import TOKEN, analyze
 from corvane.operators import suggest
 from corvane.plans.search import Engine, Relation, SearchResult
 from corvane.sources import documents as sources
+from corvane.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,7 +28,19 @@ def _frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_OPEN: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, sf: str) -> Engine:
+    """The engine over a folder of driver tables, opened once in a session; each caller gets a clone to write in."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = _opened(spark, sf)
+    return _OPEN[key].clone()
+
+
+def _opened(spark: SparkSession, sf: str) -> Engine:
     """All driver tables as indices, with orders and their lines as parents and children, points on customers and lines nested under orders."""
     e = Engine(spark)
     for name, key in _IDS.items():
@@ -33,9 +48,16 @@ def engine(spark: SparkSession, sf: str) -> Engine:
     lines = _frame(spark, sf, "lineitem")
     e.create("lineitem", lines.withColumn("_id", F.concat_ws("-", "l_orderkey", "l_linenumber")))
     customers = _frame(spark, sf, "customer").withColumn("location", F.struct(F.expr(_POINT[0]).alias("lat"), F.expr(_POINT[1]).alias("lon"))).withColumn("ip", F.expr("concat_ws('.', '10', cast(c_custkey % 4 as string), cast(c_custkey % 200 as string), '1')"))
-    e.create("shops", customers.withColumn("limits", F.struct(F.col("c_acctbal").alias("gte"), (F.col("c_acctbal") + 500.0).alias("lte"))), id_col="c_custkey")
+    e.create("shops", customers.withColumn("limits", F.struct(F.col("c_acctbal").alias("gte"), (F.col("c_acctbal") + 500.0).alias("lte"))), {"ip": {"type": "ip"}}, id_col="c_custkey")
     per = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice")).alias("lines"))
     e.create("baskets", _frame(spark, sf, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey"), id_col="o_orderkey")
+    events = _frame(spark, sf, "events")
+    features = F.create_map(F.lit("size"), F.col("value").cast("float"), F.lit("user"), F.col("user_id").cast("float"))
+    e.create("signals", events.withColumn("flat", F.from_json("props", "map<string,string>")).withColumn("features", features), {"flat": {"type": "flat_object"}, "features": {"type": "rank_features"}}, id_col="event_id")
+    e.create("titles", _frame(spark, sf, "part"), {"p_name": {"type": "search_as_you_type"}}, id_col="p_partkey")
+    places = _frame(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("_id"), F.col("r_name").alias("name"), F.struct(F.lit("region").alias("name"), F.lit(None).cast("string").alias("parent")).alias("kind"))
+    places = places.unionByName(_frame(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("_id"), F.col("n_name").alias("name"), F.struct(F.lit("nation").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).alias("kind")))
+    e.create("places", places, {"kind": {"type": "join", "relations": {"region": ["nation"]}}})
     e.relations["line"] = Relation("line", "orders", "lineitem", "l_orderkey")
     e.aliases["urgent"] = {"orders": {"term": {"o_orderpriority": "1-URGENT"}}}
     return e
@@ -296,3 +318,80 @@ def _written(e: Engine) -> DataFrame:
 
 
 _add("d_reindex_update_delete", _written, "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE n_regionkey <= 2 AND NOT starts_with(CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END, 'J')")
+
+
+# -- map fields, addresses, joins within one index
+
+_rows("q_term_ip_block", "shops", {"term": {"ip": "10.1.0.0/16"}}, "c_custkey", "customer WHERE c_custkey % 4 = 1")
+_rows("q_range_ip", "shops", {"range": {"ip": {"gte": "10.2.0.0", "lt": "10.3.0.0"}}}, "c_custkey", "customer WHERE c_custkey % 4 = 2")
+_rows("q_flat_object_path", "signals", {"term": {"flat.k": "7"}}, "event_id", "events WHERE json_extract_string(props, '$.k') = '7'")
+_rows("q_flat_object_any", "signals", {"term": {"flat": "7"}}, "event_id", "events WHERE json_extract_string(props, '$.k') = '7'")
+_rows("j_join_field_child", "places", {"has_child": {"type": "nation", "query": {"prefix": {"name": "I"}}, "min_children": 2}}, "_id,name", "(SELECT 'r' || r_regionkey AS _id, r_name AS name, r_regionkey FROM region) WHERE (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND starts_with(n_name, 'I')) >= 2")
+_rows("j_join_field_parent", "places", {"has_parent": {"parent_type": "region", "query": {"term": {"name": "ASIA"}}}}, "_id,name", "(SELECT 'n' || n_nationkey AS _id, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
+_rows("j_join_field_parent_id", "places", {"parent_id": {"type": "nation", "id": "r1"}}, "_id,name", "(SELECT 'n' || n_nationkey AS _id, n_name AS name FROM nation WHERE n_regionkey = 1)")
+_hits("j_inner_hits", "baskets", {"query": {"nested": {"path": "lines", "query": {"range": {"lines.l_quantity": {"gte": 49}}}, "inner_hits": {"size": 2, "sort": [{"lines.l_quantity": "desc"}]}}}, "sort": ["o_orderkey"], "size": 40}, "o_orderkey; size(`inner_hits.lines`) AS n; `inner_hits.lines`[0].source.l_quantity AS most", "SELECT l_orderkey AS o_orderkey, CAST(least(2, count(*)) AS INT) AS n, max(l_quantity) AS most FROM lineitem WHERE l_quantity >= 49 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 ORDER BY 1 LIMIT 40")
+_hits("s_rank_features", "signals", {"query": {"rank_feature": {"field": "features.user", "log": {"scaling_factor": 2}}}, "size": 30}, "event_id; _score AS score", "SELECT event_id, round(ln(2 + CAST(CAST(user_id AS FLOAT) AS DOUBLE)), 4) AS score FROM events ORDER BY CAST(user_id AS FLOAT) DESC, event_id LIMIT 30")
+_rows("t_search_as_you_type", "titles", {"match": {"p_name._2gram": {"query": "part maroon"}}}, "p_partkey", "part WHERE contains(' ' || array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), ' ') || ' ', ' part maroon ')")
+
+# -- more text
+
+_rows("t_multi_match_most", "part", {"multi_match": {"query": "part Brand#13", "fields": ["p_name^2", "p_brand"], "type": "most_fields"}}, "p_partkey", "part WHERE list_has_any(regexp_extract_all(lower(p_name), '\\w+'), ['part', 'brand', '13']) OR p_brand = 'part Brand#13'")
+_rows("t_phrase_slop", "documents", {"match_phrase": {"text": {"query": "of the", "slop": 0}}}, "doc_id", f"documents WHERE contains(' ' || array_to_string({_T}, ' ') || ' ', ' of the ')")
+_rows("t_query_string_wildcard", "customer", {"query_string": {"query": "c_mktsegment:BUILD* OR c_name:/Customer#0+1/"}}, "c_custkey", "customer WHERE starts_with(c_mktsegment, 'BUILD') OR regexp_full_match(c_name, 'Customer#0+1')")
+_rows("t_exists_in_query_string", "events", {"query_string": {"query": "_exists_:value AND event_type:(click OR view)"}}, "event_id", "events WHERE value IS NOT NULL AND event_type IN ('click', 'view')")
+_rows("t_intervals_filter", "documents", {"intervals": {"text": {"match": {"query": "idiot", "filter": {"before": {"match": {"query": "clown"}}}}}}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents) WHERE list_contains(t, 'idiot') AND list_position(t, 'idiot') < len(t) + 1 - list_position(list_reverse(t), 'clown') AND list_contains(t, 'clown')")
+_rows("t_span_multi", "documents", {"span_near": {"clauses": [{"span_term": {"text": "of"}}, {"span_multi": {"match": {"prefix": {"text": {"value": "th"}}}}}], "slop": 0, "in_order": True}}, "doc_id", f"documents WHERE contains(' ' || array_to_string({_T}, ' '), ' of th')")
+
+# -- more analysis
+
+_add("a_ngram", lambda e: _analyzed(e, analyze(F.col("n_name"), {"tokenizer": {"type": "ngram", "min_gram": 3, "max_gram": 3}, "filter": ["lowercase"]}), "nation", "n_nationkey"), "SELECT n_nationkey, array_to_string([lower(n_name[i:i + 2]) for i in range(1, length(n_name) - 1)], ' ') AS tokens FROM nation")
+_add("a_reverse_truncate", lambda e: _analyzed(e, analyze(F.col("n_name"), {"tokenizer": "keyword", "filter": ["reverse", {"type": "truncate", "length": 4}, "uppercase"]}), "nation", "n_nationkey"), "SELECT n_nationkey, upper(substr(reverse(n_name), 1, 4)) AS tokens FROM nation")
+_add("a_synonym", lambda e: _analyzed(e, analyze(F.col("event_type"), {"tokenizer": "keyword", "filter": [{"type": "synonym", "synonyms": ["click, tap", "purchase => buy"]}]}), "events", "event_id"), "SELECT event_id, CASE event_type WHEN 'click' THEN 'click tap' WHEN 'purchase' THEN 'buy' ELSE event_type END AS tokens FROM events")
+_add("a_asciifolding", lambda e: _analyzed(e, F.filter(analyze(F.col("text"), {"tokenizer": "letter", "filter": ["lowercase", "asciifolding"]}), lambda x: F.regexp_like(x, F.lit("^[a-z]+$"))), "benchmark", "item_id"), r"SELECT item_id, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '\pL+'), lambda x: replace(strip_accents(x), 'ß', 'ss')), lambda x: regexp_full_match(x, '[a-z]+')), ' ') AS tokens FROM benchmark")
+_add("a_pattern_char_group", lambda e: _analyzed(e, analyze(F.col("c_name"), {"tokenizer": {"type": "char_group", "tokenize_on_chars": ["#", "whitespace"]}, "filter": ["lowercase"]}), "customer", "c_custkey"), "SELECT c_custkey, array_to_string(list_filter(regexp_split_to_array(lower(c_name), '[#\\s]+'), lambda x: x <> ''), ' ') AS tokens FROM customer")
+_add("a_path_hierarchy", lambda e: e.index("pages").df.select("page_id", F.size(analyze(F.col("url"), {"tokenizer": "path_hierarchy"})).cast("long").alias("n")), "SELECT page_id, CAST(len(string_split(url, '/')) AS BIGINT) AS n FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, NULL FROM pages WHERE url IS NULL")
+_add("a_keep_stop", lambda e: _analyzed(e, analyze(F.col("p_type"), {"tokenizer": "whitespace", "filter": [{"type": "keep", "keep_words": ["STEEL", "BRASS", "PROMO", "ECONOMY"]}]}), "part", "p_partkey"), "SELECT p_partkey, array_to_string(list_filter(string_split(p_type, ' '), lambda x: x IN ('STEEL', 'BRASS', 'PROMO', 'ECONOMY')), ' ') AS tokens FROM part")
+
+# -- more scores
+
+_hits("s_function_modes", "part", {"query": {"function_score": {"functions": [{"filter": {"range": {"p_size": {"gte": 25}}}, "weight": 3}, {"filter": {"term": {"p_brand": "Brand#13"}}, "weight": 5}], "score_mode": "max", "boost_mode": "sum", "max_boost": 4}}, "size": 10000}, "p_partkey; _score AS score", "SELECT p_partkey, 1 + CAST(CASE WHEN p_brand = 'Brand#13' THEN 4 WHEN p_size >= 25 THEN 3 ELSE 0 END AS DOUBLE) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 10000")
+_hits("s_decay_date", "orders", {"query": {"function_score": {"exp": {"o_orderdate": {"origin": "1996-06-01", "scale": "30d", "offset": "1d"}}}}, "size": 60}, "o_orderkey; _score AS score", "WITH d AS (SELECT o_orderkey, greatest(0, abs(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1996-06-01')) - 86400000.0) AS d FROM orders) SELECT o_orderkey, round(exp(ln(0.5) / 2592000000.0 * d), 4) AS score FROM d ORDER BY d, o_orderkey LIMIT 60")
+_hits("s_distance_feature_geo", "shops", {"query": {"distance_feature": {"field": "location", "origin": "10,20", "pivot": "1000km"}}, "size": 20}, "c_custkey; _score AS score", f"SELECT c_custkey, round(1000000.0 / (1000000.0 + {_HAV}), 4) AS score FROM {_P} ORDER BY round({_HAV}, 3), c_custkey LIMIT 20")
+_add("s_indices_boost", lambda e: e.search("nation,region", {"indices_boost": [{"region": 3}], "size": 30}).hits.select("_index", "_score"), "SELECT 'nation' AS _index, CAST(1 AS DOUBLE) AS _score FROM nation UNION ALL SELECT 'region', 3 FROM region")
+_hits("s_rank_feature_sigmoid", "part", {"query": {"rank_feature": {"field": "p_retailprice", "sigmoid": {"pivot": 1500, "exponent": 2}}}, "size": 20}, "p_partkey; _score AS score", "SELECT p_partkey, round(pow(p_retailprice, 2) / (pow(p_retailprice, 2) + 2250000.0), 4) AS score FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+
+# -- more hits
+
+_hits("h_sort_missing", "events", {"sort": [{"value": {"order": "asc", "missing": "_first"}}, "event_id"], "size": 40}, "event_id", "SELECT event_id FROM events ORDER BY value ASC NULLS FIRST, event_id LIMIT 40")
+_hits("h_sort_unmapped", "nation", {"sort": [{"nothing": {"order": "asc", "unmapped_type": "long"}}, {"n_name": "desc"}], "size": 10}, "n_nationkey", "SELECT n_nationkey FROM nation ORDER BY n_name DESC LIMIT 10")
+_hits("h_fields_format", "orders", {"sort": ["o_orderkey"], "size": 10, "fields": ["o_order*", {"field": "o_orderdate", "format": "epoch_millis"}], "_source": False}, "`fields.o_orderkey`[0] AS k; `fields.o_orderpriority`[0] AS p", "SELECT o_orderkey AS k, o_orderpriority AS p FROM orders ORDER BY 1 LIMIT 10")
+_add("h_point_in_time", lambda e: e.search("", {"pit": {"id": e.open_point("orders")}, "sort": [{"o_totalprice": "desc"}], "size": 12}).hits.select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12")
+_add("h_collapse_inner_hits", lambda e: e.search("orders", {"collapse": {"field": "o_orderpriority", "inner_hits": {"name": "top", "size": 2}}, "sort": [{"o_totalprice": "desc"}], "size": 10}).hits.select("o_orderpriority", F.col("top")[1]["_id"].cast("long").alias("second")), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_orderpriority, o_orderkey AS second FROM r WHERE n = 2")
+
+# -- more buckets and pipelines
+
+_agg("b_date_histogram_dst", "events", {"d": {"date_histogram": {"field": "ts", "calendar_interval": "day", "time_zone": "America/New_York", "min_doc_count": 1}}}, "d", "SELECT CAST(timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', ts))))) AS TIMESTAMP) AS d, count(*) AS doc_count FROM events GROUP BY 1")
+_agg("b_histogram_hard_bounds", "lineitem", {"h": {"histogram": {"field": "l_quantity", "interval": 5, "hard_bounds": {"min": 10, "max": 30}, "min_doc_count": 1}}}, "h", "SELECT floor(l_quantity / 5) * 5 AS h, count(*) AS doc_count FROM lineitem WHERE floor(l_quantity / 5) * 5 BETWEEN 10 AND 30 GROUP BY 1")
+_agg("b_terms_missing_value", "documents", {"l": {"terms": {"field": "lang", "missing": "none", "size": 50}}}, "l", "SELECT coalesce(lang, 'none') AS l, count(*) AS doc_count FROM documents GROUP BY 1")
+_agg("b_composite_dates", "orders", {"c": {"composite": {"size": 40, "sources": [{"m": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "month"}}}, {"s": {"terms": {"field": "o_orderstatus"}}}]}}}, "c", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, o_orderstatus AS s, count(*) AS doc_count FROM orders GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 40")
+_agg("b_significant_jlh", "events", {"s": {"significant_terms": {"field": "user_id", "size": 5, "background_filter": {"exists": {"field": "event_type"}}}}}, "s", "WITH f AS (SELECT user_id AS s, count(*) AS doc_count FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT user_id AS s, count(*) AS bg_count FROM events WHERE event_type IS NOT NULL GROUP BY 1), n AS (SELECT (SELECT count(*) FROM events WHERE event_type = 'purchase') AS fg, (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS bg), x AS (SELECT s, doc_count, bg_count, CAST(doc_count AS DOUBLE) / fg AS p, CAST(bg_count AS DOUBLE) / bg AS q FROM f JOIN b USING (s), n) SELECT s, doc_count, bg_count, round((p - q) * (p / q), 4) AS score FROM x WHERE doc_count >= 3 AND p > q ORDER BY (p - q) * (p / q) DESC, s LIMIT 5", _BUY)
+_agg("p_derivative_unit", "events", _daily({"c": {"derivative": {"buckets_path": "_count", "unit": "12h"}}}), "d", f"{_DAYS} SELECT d, n AS doc_count, round(v, 4) AS v, CAST(n - lag(n) OVER (ORDER BY d) AS DOUBLE) AS c, CAST(n - lag(n) OVER (ORDER BY d) AS DOUBLE) / 2 AS c_normalized_value FROM x", _BUY)
+_agg("p_min_bucket", "events", {**_daily({}), "s": {"min_bucket": {"buckets_path": "d>v"}}}, "s", f"{_DAYS} SELECT round(min(v), 4) AS s FROM x", _BUY, "s")
+_agg("p_stats_nested_path", "lineitem", {"f": {"terms": {"field": "l_returnflag"}, "aggs": {"n": {"terms": {"field": "l_linenumber"}, "aggs": {"q": {"sum": {"field": "l_quantity"}}}}, "s": {"avg_bucket": {"buckets_path": "n>q"}}}}}, "f>s", "WITH n AS (SELECT l_returnflag AS f, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT f, round(avg(q), 4) AS s FROM n GROUP BY 1")
+
+# -- streams
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Event-time windows over the events read as a stream, all that is there in one go."""
+    schema = _frame(spark, sf, "events").schema.simpleString()
+    stream = windows.open_stream(spark, f"{sf}/events.parquet*", schema.removeprefix("struct<").removesuffix(">").replace(":", " "))
+    hours = windows.windowed(windows.matching(stream, _BUY), "ts", "1 day", {"v": F.sum("value")})
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    name = f"corvane_stream_{uuid.uuid4().hex}"
+    windows.run_once(hours, name, f"{folder.rstrip('/')}/{name}", "complete")
+    return _rounded(spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("d"), "doc_count", "v"))
+
+
+QUERIES["x_stream_windows"] = _streamed
+ORACLE_SQL["x_stream_windows"] = "SELECT date_trunc('day', ts) AS d, count(*) AS doc_count, round(sum(value), 4) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1"

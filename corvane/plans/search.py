@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import fnmatch
 import uuid
 from dataclasses import dataclass, field, replace
@@ -247,8 +248,9 @@ class Search:
         parts = [self._matched(ix, alias) for ix, alias in targets]
         self.base = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         self.whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._own(ix, ix.filtered(alias) if alias else ix.df) for ix, alias in targets])
-        for ix, _ in targets[1:]:
-            self.mapping.fields = ix.mapping.fields | self.mapping.fields
+        if len(targets) > 1:
+            self.mapping = copy.copy(self.mapping)  # the first index keeps its own
+            self.mapping.fields = reduce(lambda a, b: b | a, [ix.mapping.fields for ix, _ in targets])
 
     def _own(self, ix: Index, df: DataFrame) -> DataFrame:
         out = df.withColumn("_index", F.lit(ix.name))
