@@ -10,7 +10,7 @@ from corvane.llm._common import table
 from corvane.llm.decontaminate import find_contamination
 from corvane.llm.exact_dedup import exact_groups
 from corvane.llm.lang_id import identify
-from corvane.llm.license_scan import scan_licenses
+from corvane.llm.license_scan import BASE_PHRASES, TEMPLATES, scan_licenses
 from corvane.llm.mixing import mix_documents
 from corvane.llm.secret_scan import scan_secrets
 from corvane.llm.sharding import assign_shards
@@ -109,4 +109,46 @@ SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN first
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op2_exact_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _grams(k: str) -> str:
+    """All runs of k words of the list w and their places from 0, a row each."""
+    return f"unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS gram, unnest(range(0, len(w) - {k} + 1)) AS pos"
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+spans AS (SELECT DISTINCT item, k, gram FROM (SELECT item, k, {_grams("k")} FROM (SELECT *, least(len(w), 10) AS k FROM b WHERE len(w) > 0))),
+places AS (SELECT doc_id, k, {_grams("k")} FROM d, (SELECT DISTINCT k FROM spans) WHERE len(w) >= k),
+hits AS (SELECT doc_id, pos, k, item FROM places JOIN spans USING (k, gram)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT doc_id, pos, k FROM hits)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_PHRASES = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, pos FROM (SELECT doc_id, {_grams(str(len(phrase)))} FROM d WHERE len(w) >= {len(phrase)}) WHERE gram = '{' '.join(phrase)}'" for label, phrase in BASE_PHRASES)
+_TEMPLATES = ", ".join(f"({t}, '{label}', string_split('{text}', ' '))" for t, (label, text) in enumerate(TEMPLATES))
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT tid, label, len(w) - 2 AS n_of, {_grams("3")} FROM (VALUES {_TEMPLATES}) v(tid, label, w)),
+g AS (SELECT doc_id, {_grams("3")} FROM d WHERE len(w) >= 3),
+votes AS (SELECT doc_id, tid, label, n_of, g.pos - t.pos AS diag, count(*) AS v, min(g.pos) AS lo, max(g.pos) AS hi FROM g JOIN t USING (gram) GROUP BY 1, 2, 3, 4, 5),
+opened AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) <= 2 THEN 0 ELSE 1 END AS opens FROM votes),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS island FROM opened),
+spans AS (SELECT doc_id, label, n_of, least(CAST(1 AS DOUBLE), sum(v) / n_of) AS share, max(hi) + 3 - min(lo) AS width FROM islands GROUP BY doc_id, tid, label, n_of, island),
+found AS (SELECT doc_id, label, share FROM spans WHERE share >= 0.6 AND width <= 2 * (n_of + 2)),
+base AS ({_PHRASES}),
+b AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM base GROUP BY 1),
+l AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM found) GROUP BY 1),
+s AS (SELECT doc_id, max(share) AS share FROM found GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.lo AS BIGINT) AS first_word, CAST(b.hi AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1 ELSE coalesce(s.share, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_licenses": OP3_SQL, "op4_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op10_decontamination": OP10_SQL}
