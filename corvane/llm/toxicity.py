@@ -43,11 +43,12 @@ class OrdinalModel:
     least: float = 0.5  # chance of any grade above 0 from which a text counts as toxic
 
     def severity(self, text: bytes | None) -> tuple[float, float]:
-        """The chance of any grade above 0 and the expected grade."""
-        score = 0.0
-        if text:
-            counts = Counter(f for f in _features(_words(text)) if f in self.weights)
-            score = sum(self.weights[w] * math.log1p(n) for w, n in counts.items())
+        """The chance of any grade above 0 and the expected grade; both 0 for a text without words."""
+        words = _words(text) if text else []
+        if not words:
+            return 0.0, 0.0
+        counts = Counter(f for f in _features(words) if f in self.weights)
+        score = sum(self.weights[w] * math.log1p(n) for w, n in counts.items())
         above = [1.0 / (1.0 + math.exp(min(700.0, t - score))) for t in self.thresholds]
         return above[0], sum(above)
 
@@ -158,7 +159,7 @@ def grade_toxicity(df: DataFrame, labels: DataFrame | None = None, *, id_col: st
     """Expected severity of every whole text.
 
     Returns one row per document: ``id_col``, toxic_probability (of any grade above 0), severity (the expected grade, 0 to
-    3) and toxic (the probability is ``least`` or more; where that is None, what parted the labelled sample best). A null or empty text has no features; null or repeated ids are
+    3) and toxic (the probability is ``least`` or more; where that is None, what parted the labelled sample best). A null text or one without words has severity 0; null or repeated ids are
     rows of their own; an empty table gives no rows; other columns are not read.
     """
     model = model or train(df, labels, id_col=id_col, text_col=text_col, **how)
