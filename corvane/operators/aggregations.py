@@ -71,6 +71,7 @@ class Aggregator:
     def __init__(self, df: DataFrame, whole: DataFrame, mapping: Mapping, engine: Engine | None = None) -> None:
         self.df, self.whole, self.mapping, self.engine = df, whole, mapping, engine
         self.out: dict[str, DataFrame] = {}
+        self.totals: dict[str, DataFrame] = {}
 
     def run(self, aggs: dict) -> dict[str, DataFrame]:
         self._below(Level(self.df, [], self.mapping), aggs, "")
@@ -279,18 +280,20 @@ class Aggregator:
         size, least = int(how.get("size", 10)), int(how.get("min_doc_count", 1))
 
         def finish(frame: DataFrame, rows: Level) -> DataFrame:
-            total = F.sum("doc_count").over(Window.partitionBy(*level.keys)) if level.keys else None
             if least == 0 and not level.keys:
                 every = self._with_key(Level(self.whole, [], level.mapping), name, c, f.multi).df.select(name).distinct()
                 frame = every.join(frame, name, "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
-            if total is not None:
-                frame = frame.withColumn("_cv_all", total)
-            else:
-                frame = frame.withColumn("_cv_all", F.sum("doc_count").over(Window.partitionBy(F.lit(1)))) if how.get("show_other", False) else frame
             kept = frame.where(F.col("doc_count") >= least)
             kept = self._top(kept, level.keys, self._order(how.get("order"), name, frame, [{"_count": "desc"}]), size)
-            if "_cv_all" in kept.columns:
-                kept = kept.withColumn("sum_other_doc_count", F.col("_cv_all") - F.sum("doc_count").over(Window.partitionBy(*level.keys) if level.keys else Window.partitionBy(F.lit(1)))).drop("_cv_all")
+            if level.keys:
+                totals = frame.groupBy(*level.keys).agg(F.sum("doc_count").alias("_cv_all"))
+                shown = kept.groupBy(*level.keys).agg(F.sum("doc_count").alias("_cv_kept"))
+                other = totals.join(shown, level.keys).select(*level.keys, (F.col("_cv_all") - F.col("_cv_kept")).alias("sum_other_doc_count"))
+                return kept.join(other, level.keys)
+            self.totals[name] = rows.df.agg(F.count("*").alias("n"))  # one row, for sum_other_doc_count
+            if how.get("show_other", False):
+                shown = kept.agg(F.sum("doc_count").alias("_cv_kept"))
+                kept = kept.crossJoin(self.totals[name].crossJoin(shown)).withColumn("sum_other_doc_count", F.col("n") - F.col("_cv_kept")).drop("n", "_cv_kept")  # one row each
             return kept
 
         return rows, finish
@@ -468,14 +471,19 @@ class Aggregator:
         return rows, lambda frame, _: self._fill(frame, level, name, {}, steps).withColumn("interval", F.lit(label))
 
     def b_variable_width_histogram(self, level: Level, name: str, how: dict) -> tuple:
-        """Cuts at the largest gaps between distinct values. The gaps come from a window over distinct values and only the buckets' bounds reach the driver."""
+        """Cuts at the largest gaps between distinct values. Gaps are sought within bins that share the values out evenly, and between one bin's last and the next one's first; only the buckets' bounds reach the driver."""
         if level.keys:
             raise ValueError("[variable_width_histogram] must not be under another aggregation that splits documents")
         c, f = self._value(level, how)
         want = int(how.get("buckets", 10))
         x = self._number(c, f)
         values = level.df.select(x.alias("v")).where("v is not null").distinct()
-        gaps = values.withColumn("gap", F.col("v") - F.lag("v").over(Window.orderBy("v"))).where("gap is not null")
+        bounds = sorted(set(values.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000)).first()[0] or []))
+        binned = values.withColumn("bin", F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("v"))) if bounds else F.lit(0))
+        inner = binned.withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy("bin").orderBy("v"))).select("v", "gap")
+        ends = binned.groupBy("bin").agg(F.min("v").alias("v"), F.max("v").alias("last"))
+        outer = ends.select("v", (F.col("v") - F.lag("last").over(Window.orderBy("bin"))).alias("gap"))  # at most 256 bins
+        gaps = inner.unionByName(outer).where("gap is not null")
         cuts = sorted(r["v"] for r in gaps.orderBy(F.desc("gap"), "v").limit(want - 1).collect())
         at = reduce(lambda a, b: a + b, [(x >= v).cast("int") for v in cuts], F.lit(0))
         df = level.df.where(x.isNotNull()).withColumn(name, at).withColumn("_cv_x", x)
@@ -494,12 +502,10 @@ class Aggregator:
         keys = [k for k, _ in tests]
 
         def finish(frame: DataFrame, rows: Level) -> DataFrame:
-            spark = frame.sparkSession
-            told = [(k, *[(extra or {}).get(k, {}).get(b) for b in ("from", "to")]) for k in keys]
-            every = F.broadcast(spark.createDataFrame(told, f"`{name}` string, `from` double, `to` double"))  # the request's own ranges
-            every = every if extra else every.drop("from", "to")
-            if level.keys:
-                every = level.df.select(*level.keys).distinct().crossJoin(every)  # the request's ranges for each parent
+            told = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit((extra or {}).get(k, {}).get(b)).cast("double").alias(b) for b in ("from", "to")]) for k in keys])
+            parents = level.df.select(*level.keys).distinct() if level.keys else frame.sparkSession.range(1)
+            every = parents.select(*level.keys, F.explode(told).alias("_cv_r"))  # the request's own ranges, for each parent
+            every = every.select(*level.keys, F.col("_cv_r.k").alias(name), *([F.col("_cv_r.from"), F.col("_cv_r.to")] if extra else []))
             return every.join(frame, [*level.keys, name], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)).cast("long"))
 
         return rows, finish
@@ -660,7 +666,8 @@ class Aggregator:
         c, _ = self._value(level, how)
         order = [F.desc("_score") if "_score" in level.df.columns else F.lit(1), F.asc("_id")]
         w = Window.partitionBy(*level.keys, c).orderBy(*order)
-        kept = level.df.withColumn("_cv_n", F.row_number().over(w)).where((F.col("_cv_n") <= int(how.get("max_docs_per_value", 1))) | c.isNull()).drop("_cv_n")
+        kept = level.df.where(c.isNotNull()).withColumn("_cv_n", F.row_number().over(w)).where(F.col("_cv_n") <= int(how.get("max_docs_per_value", 1))).drop("_cv_n")
+        kept = kept.unionByName(level.df.where(c.isNull()))
         return Level(self._top(kept, level.keys, order, int(how.get("shard_size", 100))), level.keys, level.mapping, level.path)
 
     def _grid(self, level: Level, name: str, how: dict, cell: object) -> tuple:

@@ -163,6 +163,8 @@ class _Tree:
             out["after_key"] = buckets[-1]["key"]
         if kind in ("terms", "multi_terms") and mine and "sum_other_doc_count" in mine[0]:
             out["sum_other_doc_count"] = mine[0]["sum_other_doc_count"] or 0
+        elif kind == "terms" and not at and name in self.result.totals:
+            out["sum_other_doc_count"] = self.result.totals[name].first()["n"] - sum(b["doc_count"] for b in buckets)
         if kind == "auto_date_histogram" and mine:
             out["interval"] = mine[0]["interval"]
         keyed = how.get("keyed", kind == "filters" and isinstance(how.get("filters"), dict))

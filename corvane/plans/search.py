@@ -201,6 +201,7 @@ class SearchResult:
     aggregations: dict[str, DataFrame]
     matched: DataFrame
     search: Search | None = None
+    totals: dict[str, DataFrame] = field(default_factory=dict)
 
     def total(self) -> int:
         return self.matched.count()
@@ -387,8 +388,9 @@ class Search:
         self.hits, self.order = hits, order
         page = hits.orderBy(*self._sorted(order)).offset(start).limit(size)
         aggs = body.get("aggs") or body.get("aggregations") or {}
-        made = Aggregator(self.base, self.whole, self.mapping, self.engine).run(aggs) if aggs else {}
-        return SearchResult(self._fetch(page), made, self.base, self)
+        aggregator = Aggregator(self.base, self.whole, self.mapping, self.engine)
+        made = aggregator.run(aggs) if aggs else {}
+        return SearchResult(self._fetch(page), made, self.base, self, aggregator.totals)
 
     def _rescore(self, hits: DataFrame, r: dict) -> DataFrame:
         """The best ``window_size`` rows by score get a combined score; the window is a bounded top-k, joined by id."""
@@ -407,8 +409,10 @@ class Search:
         if f.multi:
             raise ValueError("cannot collapse on a multi-valued field")
         w = Window.partitionBy(self.mapping.column(f)).orderBy(*self._sorted(order))
-        out = hits.withColumn("_cv_rank", F.row_number().over(w))
-        for inner in _listed(self.body["collapse"].get("inner_hits")):
+        inners = _listed(self.body["collapse"].get("inner_hits"))
+        most = max([1, *(int(i.get("size", 3)) for i in inners)])
+        out = hits.withColumn("_cv_rank", F.row_number().over(w)).where(F.col("_cv_rank") <= most)  # cut before groups meet, so that a large one stays spread
+        for inner in inners:
             k = int(inner.get("size", 3))
             kept = F.when(F.col("_cv_rank") <= k, F.struct(F.col("_cv_rank").alias("rank"), F.col("_id").alias("_id")))
             out = out.withColumn(inner.get("name", f.name), F.collect_list(kept).over(Window.partitionBy(self.mapping.column(f))))
