@@ -260,6 +260,7 @@ ANALYZERS: dict[str, dict] = {
     "cjk": {"tokenizer": "standard", "filter": ["cjk_width", "lowercase", "cjk_bigram", "stop"]},
     "snowball": {"tokenizer": "standard", "filter": ["lowercase", "stop", "porter_stem"]},
     **{name: _language(name) for name in LANGUAGES},
+    "kuromoji": {"tokenizer": "standard", "filter": ["cjk_width", "lowercase", "cjk_bigram"]},  # pairs of characters stand for words, as there is no dictionary
 }
 
 

@@ -274,6 +274,8 @@ class Search:
             s = self.body["slice"]
             by = F.col(s["field"]) if "field" in s and s["field"] != "_id" else F.col(ix.id_col)
             out = out.where(F.pmod(F.hash(by), F.lit(int(s["max"]))) == int(s["id"]))
+        if int(self.body.get("terminate_after", 0)) > 0:
+            out = out.limit(int(self.body["terminate_after"]))
         return self._own(ix, out)
 
     # -- sort
@@ -424,7 +426,7 @@ class Search:
     def _columns(self, page: DataFrame) -> list[Column]:
         """Metadata, the filtered source, and what else was asked for of each hit."""
         body, own = self.body, [c for c in page.columns if not c.startswith(("_cv_", "_j")) and not c.startswith("inner_hits.") and c not in ("_index", "_id", "_score", "matched_queries")]
-        kept = self._source(own, body.get("_source", True))
+        kept = self._source(own, False if body.get("stored_fields") in ("_none_", ["_none_"]) else body.get("_source", True))
         out = [F.col("_index"), F.col("_id"), *([F.col("_score")] if self.scoring else []), *[F.col(f"`{c}`") for c in kept]]
         if "matched_queries" in page.columns:
             out.append(F.col("matched_queries"))
