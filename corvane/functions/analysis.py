@@ -186,7 +186,7 @@ TOKEN_FILTERS: dict[str, Callable[..., Column]] = {
     "word_delimiter_graph": _word_delimiter,
     "ngram": lambda t, min_gram=1, max_gram=2: F.flatten(F.transform(t, lambda x: _grams(x, min_gram, max_gram, False))),
     "edge_ngram": lambda t, min_gram=1, max_gram=2: F.flatten(F.transform(t, lambda x: _grams(x, min_gram, max_gram, True))),
-    "trim": _each(F.trim),
+    "trim": _each(lambda x: F.trim(x)),
     "truncate": lambda t, length=10: F.transform(t, lambda x: F.substring(x, 1, length)),
     "length": lambda t, min=0, max=2**31 - 1: F.filter(t, lambda x: (F.length(x) >= min) & (F.length(x) <= max)),
     "unique": lambda t, only_on_same_position=False: F.array_distinct(t),
