@@ -116,12 +116,13 @@ def test_stream_of_windows(spark, tmp_path):
     assert [r["doc_count"] for r in got] == [6, 6, 6, 6] and sum(r["s"] for r in got) == sum(i for i in range(48) if i % 2)
 
 
-def test_comparisons_reach_the_scan(spark):
+def test_comparisons_reach_the_scan(spark, capsys):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     e = Engine(spark)
     ix = e.create("o", df, id_col="o_orderkey")
     m = Compiler(ix.df, ix.mapping, e, id_col=ix.id_col).compile({"bool": {"filter": [{"term": {"o_orderstatus": "F"}}, {"range": {"o_totalprice": {"gte": 5}}}, {"ids": {"values": ["1", "2"]}}]}})
-    plan = ix.df.where(m.hit).select("o_custkey")._jdf.queryExecution().executedPlan().toString()
+    ix.df.where(m.hit).select("o_custkey").explain("formatted")
+    plan = capsys.readouterr().out
     pushed = plan[plan.index("PushedFilters") :]
     assert all(x in pushed for x in ("EqualTo(o_orderstatus,F)", "GreaterThanOrEqual(o_totalprice,5.0)", "In(o_orderkey"))
     assert "o_orderdate" not in plan
