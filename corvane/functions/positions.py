@@ -45,7 +45,7 @@ def fuzzy_any(tokens: Column, term: str, edits: int, prefix: int = 0) -> Column:
     def close(found: pd.Series) -> pd.Series:
         return found.map(lambda ts: any(osa(t, term, edits) <= edits for t in ts) if ts is not None else False)
 
-    return close(near)
+    return (F.size(near) > 0) & close(near)
 
 
 def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False) -> Column:
@@ -162,7 +162,15 @@ def evaluate_intervals(rule: dict, tokens: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _needed(rule: dict) -> set[str]:
+    """Terms without which a rule has no interval."""
+    if rule["kind"] == "match":
+        return set(rule["terms"])
+    return {t for r in rule["rules"] for t in _needed(r)} if rule["kind"] == "all_of" else set()
+
+
 def intervals(tokens: Column, rule: dict) -> Column:
+    """Whether the rule has an interval. Rows without a term that it needs are cut off before they go to Python."""
     told = json.dumps(rule)
 
     @F.pandas_udf("boolean")
@@ -170,4 +178,7 @@ def intervals(tokens: Column, rule: dict) -> Column:
         parsed = json.loads(told)
         return rows.map(lambda ts: ts is not None and bool(evaluate_intervals(parsed, list(ts))))
 
-    return match(tokens)
+    needed = F.lit(True)
+    for t in sorted(_needed(rule)):
+        needed = needed & F.array_contains(tokens, t)
+    return needed & match(tokens)

@@ -6,50 +6,55 @@ import math
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.positions import osa
 from corvane.plans.search import Engine, Index
 
-_CANDIDATES = "text string, suggestion string, score double, freq long"
-
-
 def _dictionary(ix: Index, field: str) -> DataFrame:
     """Terms of a field with the documents they stand in."""
     tokens = ix.mapping.tokens(ix.mapping.get(field))
     return ix.df.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
 
 
-def _near(ix: Index, field: str, word: str, how: dict) -> DataFrame:
-    """Terms within ``max_edits`` of a word, with score 1 - distance / shorter length: cut by prefix, length and a loose built-in distance, then measured."""
+def _near(ix: Index, field: str, words: list[str], how: dict) -> DataFrame:
+    """Terms within ``max_edits`` of each of a request's words, with score 1 - distance / shorter length: the dictionary is made once, cut by prefix, length and a loose built-in distance, then measured."""
     edits, prefix = int(how.get("max_edits", 2)), int(how.get("prefix_length", 1))
-    close = _dictionary(ix, field).where((F.col("term") != word) & (F.length("term") >= int(how.get("min_word_length", 4))) & F.startswith("term", F.lit(word[:prefix])) & (F.abs(F.length("term") - len(word)) <= edits) & (F.levenshtein("term", F.lit(word)) <= 2 * edits))
+    word = F.col("text")
+    pairs = _dictionary(ix, field).where(F.length("term") >= int(how.get("min_word_length", 4))).withColumn("text", F.explode(F.array(*[F.lit(w) for w in words]).cast("array<string>")))
+    close = pairs.where((F.col("term") != word) & (F.substring("term", 1, prefix) == F.substring(word, 1, prefix)) & (F.abs(F.length("term") - F.length(word)) <= edits) & (F.levenshtein("term", word) <= 2 * edits))
 
     @F.pandas_udf("int")
-    def distance(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda t: osa(t, word, edits))
+    def distance(terms: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([osa(t, w, edits) for t, w in zip(terms, texts, strict=True)], dtype="int32")
+
+    score = 1.0 - F.col("d") / F.least(F.length("term"), F.length(word))
+    found = close.withColumn("d", distance("term", word)).where(F.col("d") <= edits)
+    return found.select("text", F.col("term").alias("suggestion"), score.alias("score"), "freq").where(F.col("score") >= float(how.get("accuracy", 0.5)))
+
 
-    score = 1.0 - F.col("d") / F.least(F.length("term"), F.lit(len(word)))
-    found = close.withColumn("d", distance("term")).where(F.col("d") <= edits)
-    return found.select(F.lit(word).alias("text"), F.col("term").alias("suggestion"), score.alias("score"), "freq").where(F.col("score") >= float(how.get("accuracy", 0.5)))
+def _best(found: DataFrame, by_frequency: bool, size: int) -> DataFrame:
+    """The first ``size`` suggestions of each word."""
+    order = [F.desc("freq"), F.desc("score")] if by_frequency else [F.desc("score"), F.desc("freq")]
+    ranked = found.withColumn("_cv_r", F.row_number().over(Window.partitionBy("text").orderBy(*order, "suggestion")))
+    return ranked.where(F.col("_cv_r") <= size)
 
 
 def term_suggest(ix: Index, text: str, how: dict) -> DataFrame:
     """Corrections of each word: ``missing`` only for words not in the index, ``popular`` only more frequent ones, ``always``; by score, then frequency, then term."""
     field, mode = how["field"], how.get("suggest_mode", "missing")
-    words = list(ix.df.sparkSession.range(1).select(ix.mapping.analyzed(ix.mapping.get(field), text).alias("t")).first()["t"])
+    words = list(dict.fromkeys(ix.df.sparkSession.range(1).select(ix.mapping.analyzed(ix.mapping.get(field), text).alias("t")).first()["t"]))
     known = {r["term"]: r["freq"] for r in _dictionary(ix, field).where(F.col("term").isin(words or [""])).collect()}
-    out = ix.df.sparkSession.createDataFrame([], _CANDIDATES)
-    for w in dict.fromkeys(words):
-        if len(w) < int(how.get("min_word_length", 4)) or mode == "missing" and w in known:
-            continue
-        found = _near(ix, field, w, how)
-        if mode == "popular":
-            found = found.where(F.col("freq") > known.get(w, 0))
-        order = [F.desc("freq"), F.desc("score")] if how.get("sort") == "frequency" else [F.desc("score"), F.desc("freq")]
-        out = out.unionByName(found.orderBy(*order, "suggestion").limit(int(how.get("size", 5))))
-    return out
+    asked = [w for w in words if len(w) >= int(how.get("min_word_length", 4)) and not (mode == "missing" and w in known)]
+    if not asked:
+        return ix.df.sparkSession.createDataFrame([], "text string, suggestion string, score double, freq long")
+    found = _near(ix, field, asked, how)
+    if mode == "popular":
+        often = F.create_map(*[F.lit(x) for w in words for x in (w, known.get(w, 0))])
+        found = found.where(F.col("freq") > F.try_element_at(often, F.col("text")))
+    order = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i)])
+    return _best(found, how.get("sort") == "frequency", int(how.get("size", 5))).orderBy(F.try_element_at(order, F.col("text")), "_cv_r").select("text", "suggestion", "score", "freq")
 
 
 def phrase_suggest(ix: Index, text: str, how: dict) -> list[tuple[str, float]]:
@@ -58,7 +63,10 @@ def phrase_suggest(ix: Index, text: str, how: dict) -> list[tuple[str, float]]:
     tokens = ix.mapping.tokens(ix.mapping.get(field))
     words = list(ix.df.sparkSession.range(1).select(ix.mapping.analyzed(ix.mapping.get(field), text).alias("t")).first()["t"])
     generator = (how.get("direct_generator") or [{"suggest_mode": "always"}])[0]
-    options = [[w] + [r["suggestion"] for r in _near(ix, field, w, {"min_word_length": 3, **generator}).orderBy(F.desc("score"), F.desc("freq"), "suggestion").limit(int(generator.get("size", 5))).collect()] for w in words]
+    near: dict[str, list[str]] = defaultdict(list)
+    for r in _best(_near(ix, field, list(dict.fromkeys(words)), {"min_word_length": 3, **generator}), False, int(generator.get("size", 5))).orderBy("_cv_r").collect():
+        near[r["text"]].append(r["suggestion"])
+    options = [[w, *near[w]] for w in words]
     vocabulary = sorted({w for o in options for w in o})
     inside = ix.df.select(F.filter(F.transform(tokens, lambda x, i: F.struct(x.alias("a"), F.get(tokens, i + 1).alias("b"))), lambda p: p["a"].isin(vocabulary)).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b")
     one: dict[str, int] = defaultdict(int)
