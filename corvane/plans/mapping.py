@@ -69,6 +69,8 @@ class Mapping:
 
     def _infer(self, prefix: str, schema: T.StructType) -> None:
         for f in schema.fields:
+            if f.name in ("_version", "_seq_no"):
+                continue
             kind, multi = _of_spark(f.name, f.dataType)
             name = prefix + f.name
             self.fields[name] = Field(name, kind, name, multi)

@@ -47,8 +47,9 @@ def hits(result: SearchResult, track_total: bool | int = True) -> dict:
                 v = value(told.pop(name))
                 if v:
                     groups[group][rest] = {"hits": {"hits": [{"_nested": {"field": rest, "offset": x["offset"]}, "_source": x.get("source", {})} for x in v]}} if group == "inner_hits" else v
-        if names := told.pop("matched_queries", None):
-            hit["matched_queries"] = list(names)
+        for name in ("matched_queries", "_version", "_seq_no", "_ignored"):
+            if (v := told.pop(name, None)) not in (None, []):
+                hit[name] = value(v)
         sources = {k: value(v) for k, v in told.items() if v is not None}
         if result.search is None or result.search.body.get("_source", True) is not False:
             hit["_source"] = sources

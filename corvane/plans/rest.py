@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions.analysis import analyze
 from corvane.plans import render
 from corvane.plans.mapping import spark_type
-from corvane.plans.search import Engine, Scroll, Search
+from corvane.plans.search import META, Engine, Scroll, Search
 from corvane.sources import documents as sources
 
 #: Paths that only make writes visible or tidy up: every write here is visible at once.
@@ -121,18 +121,14 @@ class Client:
             docs = [json.loads(a[3]) for _, a in own if a[3]]
             docs = [d.get("doc", d) if a[0] == "update" else d for d, a in zip(docs, [a for _, a in own if a[3]], strict=True)]
             ix = self.engine.indices.get(name)
-            known = {f.name: f.dataType.simpleString() for f in ix.df.schema.fields if f.name != "_id"} if ix else {}
+            known = {f.name: f.dataType.simpleString() for f in ix.df.schema.fields if f.name not in META} if ix else {}
             schema = ", ".join(f"`{n}` {t}" for n, t in (self._infer(docs, known) if docs else known).items())
             df = self.spark.createDataFrame([(op, name, ids[i], src, i) for i, (op, _, _, src) in own], "op string, _index string, _id string, source string, n long")
-            before = set(known)
             _, told = sources.apply_bulk(self.engine, df.withColumn("file", F.lit("")).withColumn("block", F.lit(0).cast("long")), name, schema or "`_none` string")
-            if set(self.engine.indices[name].df.columns) - before - {"_id"} and not ix:
-                new = self.engine.indices[name]
-                self.engine.create(name, new.df, sources.dynamic_properties(new.df.drop("_id")))
             written = told.collect()  # the results, told before the index moves on
             sources.compact(self.engine, name)
             for r in written:
-                results[r["n"]] = {r["op"]: {"_index": name, "_id": r["_id"], "status": r["status"], "result": r["result"]}}
+                results[r["n"]] = {r["op"]: {"_index": name, "_id": r["_id"], "status": r["status"], "result": r["result"], **({"_version": r["_version"], "_seq_no": r["_seq_no"], "_primary_term": 1} if r["status"] < 400 else {})}}
         return [results[i] for i in range(len(actions))]
 
     def _infer(self, docs: list[dict], known: dict[str, str]) -> dict[str, str]:
@@ -157,6 +153,10 @@ class Client:
 
     def r_doc(self, method: str, index: str, rest: list[str], body: dict, params: dict) -> tuple[int, object]:
         key = rest[0] if rest else None
+        if "if_seq_no" in params and method != "GET":
+            now = sources.get(self.engine, index, key).first()
+            if now is None or int(params["if_seq_no"]) != now["_seq_no"]:
+                raise ApiError(409, "version_conflict_engine_exception", f"[{key}]: version conflict, required seqNo [{params['if_seq_no']}], but it is [{None if now is None else now['_seq_no']}]")
         if method in ("PUT", "POST"):
             got = next(iter(self._write([(params.get("op_type", "index"), index, key, json.dumps(body))])[0].values()))
             if got["status"] == 409:
@@ -168,8 +168,8 @@ class Client:
         row = sources.get(self.engine, index, key).first()
         if row is None:
             return 404, {"_index": index, "_id": key, "found": False}
-        source = {k: render.value(v) for k, v in row.asDict().items() if k not in ("_id", "_ignored") and v is not None}
-        return 200, {"_index": index, "_id": key, "found": True, "_source": source}
+        source = {k: render.value(v) for k, v in row.asDict().items() if k not in META and v is not None}
+        return 200, {"_index": index, "_id": key, "found": True, **{k: row[k] for k in ("_version", "_seq_no") if k in row}, "_source": source}
 
     def r_create(self, method: str, index: str, rest: list[str], body: dict, params: dict) -> tuple[int, object]:
         return self.r_doc("PUT", index, rest, body, {**params, "op_type": "create"})
@@ -193,7 +193,7 @@ class Client:
         asked = [(d.get("_index", index), d["_id"]) for d in body.get("docs", [])] + [(index, i) for i in body.get("ids", [])]
         out = []
         for r in sources.mget(self.engine, asked).collect():
-            own = {f.name for f in self.engine.index(r["_index"]).df.schema.fields} - {"_id"}
+            own = {f.name for f in self.engine.index(r["_index"]).df.schema.fields} - META
             doc = {"_index": r["_index"], "_id": r["_id"], "found": r["found"]}
             out.append(doc | ({"_source": {k: render.value(v) for k, v in r.asDict().items() if k in own and v is not None}} if r["found"] else {}))
         return 200, {"docs": out}

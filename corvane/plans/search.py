@@ -18,6 +18,8 @@ from corvane.plans.mapping import TEXT, Field, Mapping, id_in
 from corvane.plans.query import Compiler
 
 MAX_WINDOW = 10_000
+#: Columns of a row that are not of its source.
+META = {"_index", "_id", "_score", "matched_queries", "_version", "_seq_no", "_ignored"}
 
 
 @dataclass
@@ -425,11 +427,11 @@ class Search:
 
     def _columns(self, page: DataFrame) -> list[Column]:
         """Metadata, the filtered source, and what else was asked for of each hit."""
-        body, own = self.body, [c for c in page.columns if not c.startswith(("_cv_", "_j")) and not c.startswith("inner_hits.") and c not in ("_index", "_id", "_score", "matched_queries")]
+        body, own = self.body, [c for c in page.columns if not c.startswith(("_cv_", "_j")) and not c.startswith("inner_hits.") and c not in META]
         kept = self._source(own, False if body.get("stored_fields") in ("_none_", ["_none_"]) else body.get("_source", True))
         out = [F.col("_index"), F.col("_id"), *([F.col("_score")] if self.scoring else []), *[F.col(f"`{c}`") for c in kept]]
-        if "matched_queries" in page.columns:
-            out.append(F.col("matched_queries"))
+        asked = [("matched_queries", True), ("_version", body.get("version")), ("_seq_no", body.get("seq_no_primary_term")), ("_ignored", True)]
+        out += [F.col(n) for n, wanted in asked if wanted and n in page.columns]
         out += [F.col(f"`{c}`") for c in page.columns if c.startswith("inner_hits.")]
         for spec in [*_listed(body.get("fields")), *_listed(body.get("docvalue_fields"))]:
             name, fmt = (spec, None) if isinstance(spec, str) else (spec["field"], spec.get("format"))

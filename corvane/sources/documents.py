@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.plans.mapping import coerce, dynamic_properties, id_in
 from corvane.plans.query import Compiler
-from corvane.plans.search import Engine, Index
+from corvane.plans.search import META, Engine, Index
 
 _ACTION = r'^\s*\{\s*"(index|create|update|delete)"\s*:'
 
@@ -36,28 +36,34 @@ def read_bulk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_col: str = "_id") -> tuple[Index, DataFrame]:
-    """The index after its actions, the last action of an id winning, and a result for each action."""
+    """The index after its actions, the last action of an id winning, and a result for each action. Rows carry ``_version``, which each write of an id raises, and ``_seq_no``, which goes up in the order of actions."""
     own = actions.where(F.coalesce(F.col("_index"), F.lit(name)) == name).withColumn(id_col, F.coalesce("_id", F.md5(F.concat_ws(":", "file", "block", "n"))))
     w = Window.partitionBy(id_col).orderBy("file", "block", "n")
-    existed = engine.indices[name].df.select(id_col).withColumn("_cv_old", F.lit(True)) if name in engine.indices else own.select(id_col).limit(0).withColumn("_cv_old", F.lit(True))
+    there_before = engine.indices[name].df if name in engine.indices else own.limit(0)
+    version = F.col("_version") if "_version" in there_before.columns else F.lit(1).cast("long")
+    existed = there_before.select(id_col, version.alias("_cv_base"), F.lit(True).alias("_cv_old"))
+    first = ((there_before.agg(F.max("_seq_no")).first()[0] if "_seq_no" in there_before.columns else None) or -1) + 1
     told = own.join(existed, id_col, "left").withColumn("_cv_before", F.lag("op").over(w))
     there = F.when(F.col("_cv_before").isNull(), F.col("_cv_old").isNotNull()).otherwise(F.col("_cv_before") != "delete")
     status = F.when((F.col("op") == "create") & there, 409).when(F.col("op").isin("update", "delete") & ~there, 404).when((F.col("op") == "index") & ~there | (F.col("op") == "create"), 201).otherwise(200)
     result = F.when(status == 409, "version_conflict").when(status == 404, "not_found").when(F.col("op") == "delete", "deleted").when(status == 201, "created").otherwise("updated")
-    results = told.select("op", F.col(id_col).alias("_id"), status.alias("status"), result.alias("result"), "n")
+    raised = F.coalesce("_cv_base", F.lit(0)) + F.sum((status < 400).cast("long")).over(w)
+    told = told.withColumn("_version", raised.cast("long"))
+    results = told.select("op", F.col(id_col).alias("_id"), status.alias("status"), result.alias("result"), "_version", (F.col("n") + first).alias("_seq_no"), "n")
     good = told.withColumn("status", status).where("status < 400")
     last = good.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("file"), F.desc("block"), F.desc("n")))).where("r = 1")
     source = F.when(F.col("op") == "update", F.coalesce(F.get_json_object("source", "$.doc"), F.col("source"))).otherwise(F.col("source"))
-    new = last.where("op <> 'delete'").select(F.col(id_col), F.col("op"), F.from_json(source, schema).alias("s")).select(id_col, "op", "s.*")
+    new = last.where("op <> 'delete'").select(F.col(id_col), F.col("op"), "_version", (F.col("n") + first).alias("_seq_no"), F.from_json(source, schema).alias("s")).select(id_col, "op", "_version", "_seq_no", "s.*")
     fields = [c for c in new.columns if c not in (id_col, "op")]
     if name in engine.indices:
         old = engine.indices[name]
         untouched = old.df.join(last.select(id_col), id_col, "left_anti")
         merged = new.alias("n").join(old.df.alias("o"), id_col, "left")
         both = merged.select(id_col, *[(F.when(F.col("op") == "update", F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).otherwise(F.col(f"n.{c}")) if c in old.df.columns else F.col(f"n.{c}")).alias(c) for c in fields])
-        df, props = untouched.unionByName(both, allowMissingColumns=True), old.mapping.declared
+        added = [c for c in fields if c not in old.df.columns and c not in META]
+        df, props = untouched.unionByName(both, allowMissingColumns=True), old.mapping.declared | (dynamic_properties(both.select(added)) if added else {})
     else:
-        df, props = new.drop("op"), dynamic_properties(new.drop("op", id_col))
+        df, props = new.drop("op"), dynamic_properties(new.drop("op", id_col, "_version", "_seq_no"))
     return engine.create(name, df, props, engine.indices[name].mapping.settings if name in engine.indices else None, id_col), results
 
 

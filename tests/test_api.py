@@ -136,6 +136,12 @@ def test_writes(spark):
     assert c.request("PUT", "/books/_create/1", {"title": "x"})[0] == 409
     assert c.request("POST", "/books/_update/1", {"doc": {"year": 1953}})[0] == 200
     assert c.request("GET", "/books/_doc/1")[1]["_source"] == {"title": "The Old Sea", "year": 1953}
+    got = c.request("GET", "/books/_doc/1")[1]
+    assert got["_version"] == 2
+    assert c.request("PUT", "/books/_doc/1", {"title": "x"}, {"if_seq_no": got["_seq_no"] + 1})[0] == 409
+    status, out = c.request("PUT", "/books/_doc/1", {"title": "The Old Sea", "year": 1953}, {"if_seq_no": got["_seq_no"]})
+    assert (status, out["result"], out["_version"]) == (200, "updated", 3)
+    assert c.request("POST", "/books/_search", {"version": True})[1]["hits"]["hits"][0]["_version"] == 3
     assert c.request("GET", "/books/_doc/9")[0] == 404
     lines = [{"index": {"_id": "2"}}, {"title": "A New Sea", "year": 1960, "pages": 90}, {"delete": {"_id": "7"}}, {"create": {"_id": "3"}}, {"title": "Land", "year": 1970}]
     status, out = c.request("POST", "/books/_bulk", "\n".join(json.dumps(x) for x in lines) + "\n")
