@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions.analysis import analyze
 from corvane.plans import render
 from corvane.plans.mapping import spark_type
-from corvane.plans.search import META, Engine, Scroll, Search
+from corvane.plans.search import META, Engine, Scroll, Search, merged
 from corvane.sources import documents as sources
 
 #: Paths that only make writes visible or tidy up: every write here is visible at once.
@@ -69,11 +69,7 @@ class Client:
         if method == "PUT":
             if index in e.indices:
                 raise ApiError(400, "resource_already_exists_exception", f"index [{index}] already exists")
-            props = body.get("mappings", {}).get("properties", {})
-            fields = ", ".join(["_id string", *[f"`{n}` {spark_type(how)}" for n, how in props.items() if how.get("type") != "alias"]])
-            e.create(index, self.spark.createDataFrame([], fields), props, body.get("settings", {}).get("analysis"))
-            for alias, how in body.get("aliases", {}).items():
-                sources.put_alias(e, alias, index, how.get("filter"))
+            self._create(index, body)
             return 200, {"acknowledged": True, "index": index}
         if method == "HEAD":
             return (200 if index in e.indices or index in e.aliases else 404), None
@@ -84,6 +80,35 @@ class Client:
             return 200, {"acknowledged": True}
         return 200, {ix.name: {"mappings": {"properties": ix.mapping.properties()}, "aliases": {a: {} for a, t in e.aliases.items() if ix.name in t}} for ix in found}
 
+    def _create(self, index: str, body: dict) -> None:
+        """An empty index as its templates and the request say."""
+        body = merged(self.engine.template_for(index), body)
+        props = body.get("mappings", {}).get("properties", {})
+        fields = ", ".join(["_id string", *[f"`{n}` {spark_type(how)}" for n, how in props.items() if how.get("type") != "alias"]])
+        self.engine.create(index, self.spark.createDataFrame([], fields), props, body.get("settings", {}).get("analysis"))
+        for alias, how in body.get("aliases", {}).items():
+            sources.put_alias(self.engine, alias, index, how.get("filter"))
+
+    def r_index_template(self, method: str, index: str | None, rest: list[str], body: dict, params: dict) -> tuple[int, object]:
+        if rest and rest[0].startswith("_simulate"):
+            return 200, {"template": self.engine.template_for(rest[1])}
+        return self._stored(self.engine.templates, "index_templates", method, rest, body)
+
+    def r_component_template(self, method: str, index: str | None, rest: list[str], body: dict, params: dict) -> tuple[int, object]:
+        return self._stored(self.engine.components, "component_templates", method, rest, body)
+
+    @staticmethod
+    def _stored(held: dict, kind: str, method: str, rest: list[str], body: dict) -> tuple[int, object]:
+        if method in ("PUT", "POST"):
+            held[rest[0]] = body
+            return 200, {"acknowledged": True}
+        if method == "DELETE":
+            del held[rest[0]]
+            return 200, {"acknowledged": True}
+        if method == "HEAD":
+            return (200 if rest[0] in held else 404), None
+        return 200, {kind: [{"name": n, kind.removesuffix("s"): t} for n, t in held.items() if not rest or n == rest[0]]}
+
     def r_mapping(self, method: str, index: str | None, rest: list[str], body: dict, params: dict) -> tuple[int, object]:
         found = [ix for ix, _ in self.engine.resolve(index or "_all")]
         if method in ("PUT", "POST"):
@@ -117,6 +142,8 @@ class Client:
         results: dict[int, dict] = {}
         for name in dict.fromkeys(a[1] for a in actions):
             own = [(i, a) for i, a in enumerate(actions) if a[1] == name]
+            if name not in self.engine.indices and self.engine.template_for(name):
+                self._create(name, {})
             ids = {i: a[2] or uuid.uuid4().hex[:20] for i, a in own}
             docs = [json.loads(a[3]) for _, a in own if a[3]]
             docs = [d.get("doc", d) if a[0] == "update" else d for d, a in zip(docs, [a for _, a in own if a[3]], strict=True)]

@@ -74,6 +74,19 @@ class Engine:
     relations: dict[str, Relation] = field(default_factory=dict)
     points: dict[str, tuple[Engine, str]] = field(default_factory=dict)
     scrolls: dict[str, Scroll] = field(default_factory=dict)
+    templates: dict[str, dict] = field(default_factory=dict)
+    components: dict[str, dict] = field(default_factory=dict)
+
+    def template_for(self, name: str) -> dict:
+        """Settings, mappings and aliases for a new index: of the templates whose patterns its name fits, that of the highest priority, over the components it is composed of."""
+        fits = [t for t in self.templates.values() if any(fnmatch.fnmatchcase(name, p) for p in _listed(t.get("index_patterns")))]
+        if not fits:
+            return {}
+        best = max(fits, key=lambda t: t.get("priority", 0))
+        out: dict = {}
+        for part in [*[self.components[c].get("template", {}) for c in best.get("composed_of", [])], best.get("template", {})]:
+            out = merged(out, part)
+        return out
 
     def create(self, name: str, df: DataFrame, properties: dict | None = None, settings: dict | None = None, id_col: str = "_id") -> Index:
         if id_col not in df.columns:
@@ -93,7 +106,7 @@ class Engine:
 
     def clone(self) -> Engine:
         """A copy that shares all data; writes to either do not show in the other."""
-        out = Engine(self.spark, {}, {k: dict(v) for k, v in self.aliases.items()}, dict(self.relations))
+        out = Engine(self.spark, {}, {k: dict(v) for k, v in self.aliases.items()}, dict(self.relations), templates=dict(self.templates), components=dict(self.components))
         out.indices = {k: replace(v, engine=out) for k, v in self.indices.items()}
         return out
 
@@ -191,6 +204,11 @@ class Engine:
         return reduce(DataFrame.unionByName, out)
 
 
+def merged(a: dict, b: dict) -> dict:
+    """``b`` over ``a``, objects within objects."""
+    return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+
 def _listed(x: object) -> list:
     return [] if x is None else x if isinstance(x, list) else [x]
 

@@ -160,17 +160,21 @@ def reindex(engine: Engine, source: str, dest: str, query: dict | None = None, c
 
 
 def load_seed(engine: Engine, folder: str) -> list[str]:
-    """``<name>.index.json`` (mappings), ``<name>.ndjson`` (documents) and ``aliases.json`` of a folder, in this order."""
+    """``<name>.template.json``, ``<name>.index.json`` (mappings), ``<name>.ndjson`` (documents) and ``aliases.json`` of a folder, in this order."""
     made = []
+    for f in sorted(os.listdir(folder)):
+        if f.endswith(".template.json"):
+            with open(os.path.join(folder, f)) as fh:
+                engine.templates[f.removesuffix(".template.json")] = json.load(fh)
     for f in sorted(os.listdir(folder)):
         if f.endswith(".ndjson"):
             name = f.removesuffix(".ndjson")
-            props: dict = {}
+            props: dict = engine.template_for(name).get("mappings", {}).get("properties", {})
             spec = os.path.join(folder, f"{name}.index.json")
             if os.path.exists(spec):
                 with open(spec) as fh:
                     body = json.load(fh)
-                props = body.get("mappings", {}).get("properties", {})
+                props = props | body.get("mappings", {}).get("properties", {})
             docs = engine.spark.read.json(os.path.join(folder, f))
             index_documents(engine, name, docs, props)
             made.append(name)

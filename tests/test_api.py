@@ -182,3 +182,15 @@ def test_other_requests(client):
     out = client.request("POST", "/products/_search", {"size": 0, "suggest": {"s": {"text": "shooes", "term": {"field": "name"}}}})[1]
     assert out["suggest"]["s"][0]["options"][0]["text"] == "shoes"
     assert client.request("POST", "/_msearch", [{"index": "products"}, {"size": 0}, {"index": "gone"}, {}])[1]["responses"][1]["status"] == 404
+
+
+def test_templates(spark):
+    c = Client(spark)
+    assert c.request("PUT", "/_component_template/base", {"template": {"mappings": {"properties": {"at": {"type": "date"}}}}})[0] == 200
+    assert c.request("PUT", "/_index_template/logs", {"index_patterns": ["logs-*"], "priority": 5, "composed_of": ["base"], "template": {"mappings": {"properties": {"line": {"type": "text"}}}, "aliases": {"all-logs": {}}}})[0] == 200
+    assert c.request("PUT", "/_index_template/any", {"index_patterns": ["*"], "template": {"mappings": {"properties": {"line": {"type": "keyword"}}}}})[0] == 200
+    assert c.request("PUT", "/logs-1/_doc/1", {"at": "2024-01-02", "line": "Disk full"})[0] == 201
+    assert c.request("GET", "/all-logs/_count")[1] == {"count": 1}
+    assert c.request("POST", "/logs-1/_search", {"query": {"bool": {"must": [{"match": {"line": "disk"}}, {"range": {"at": {"gte": "2024-01-01"}}}]}}})[1]["hits"]["total"]["value"] == 1
+    assert set(c.request("POST", "/_index_template/_simulate_index/logs-9")[1]["template"]["mappings"]["properties"]) == {"at", "line"}
+    assert c.request("DELETE", "/_index_template/logs")[0] == 200 and c.request("HEAD", "/_index_template/logs")[0] == 404
