@@ -124,7 +124,8 @@ class Aggregator:
             if k == "top_hits":
                 late.append((n, k, how))
                 continue
-            if k in ("median_absolute_deviation",):
+            f = level.mapping.get(how["field"]) if k == "cardinality" and "field" in how else None
+            if k == "median_absolute_deviation" or f is not None and f.multi:
                 late.append((n, k, how))
             else:
                 exprs += self._metric(level, n, k, how)
@@ -157,7 +158,7 @@ class Aggregator:
         if k == "geo_centroid":
             return [F.avg(c["lat"]).alias(f"{n}.lat"), F.avg(c["lon"]).alias(f"{n}.lon"), F.count(c).alias(f"{n}.count")]
         if k == "cardinality":
-            return [F.count_distinct(c).alias(n)] if not f.multi else [F.size(F.array_distinct(F.flatten(F.collect_set(F.array_compact(c))))).cast("long").alias(n)]
+            return [F.count_distinct(c).alias(n)]
         if k == "value_count":
             return [(F.coalesce(F.sum(F.size(F.array_distinct(F.array_compact(c))).cast("long")), F.lit(0)) if f.multi else F.count(c)).alias(n)]
         x, multi = self._flat(c, f)
@@ -182,10 +183,17 @@ class Aggregator:
             if "hdr" in how:
                 raise ValueError("[percentiles] hdr is not supported")
             ps = how.get("percents", [1, 5, 25, 50, 75, 95, 99])
+            if "tdigest" in how:  # a sketch of bounded size was asked for by name; else the percentiles are exact
+                accuracy = 100 * int(how["tdigest"].get("compression", 100))
+                return [F.percentile_approx(x, F.lit(p / 100.0), accuracy).alias(f"{n}.{float(p)}") for p in ps]
             return [F.percentile(x, F.lit(p / 100.0)).alias(f"{n}.{float(p)}") for p in ps]
         return [(100.0 * F.avg((x <= float(v)).cast("double"))).alias(f"{n}.{float(v)}") for v in how["values"]]
 
     def _late(self, level: Level, n: str, k: str, how: dict) -> DataFrame:
+        if k == "cardinality":
+            c, _ = self._value(level, how)
+            each = level.df.select(*level.keys, F.explode_outer(c).alias("_cv_v"))  # outer: a bucket without values counts 0
+            return each.groupBy(*level.keys).agg(F.count_distinct("_cv_v").alias(n))
         if k == "median_absolute_deviation":
             c, f = self._value(level, how)
             rows = level.df.select(*level.keys, self._number(c, f).alias("_cv_v"))

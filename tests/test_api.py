@@ -110,6 +110,8 @@ def test_aggregations_nest(client):
             "months": {"date_histogram": {"field": "created", "calendar_interval": "month", "format": "yyyy-MM"}, "aggs": {"s": {"sum": {"field": "price"}}, "c": {"cumulative_sum": {"buckets_path": "s"}}}},
             "best": {"max_bucket": {"buckets_path": "months>s"}},
             "all": {"stats": {"field": "price"}},
+            "kinds": {"cardinality": {"field": "tags"}},
+            "by_vendor": {"terms": {"field": "vendor.name"}, "aggs": {"kinds": {"cardinality": {"field": "tags"}}, "half": {"percentiles": {"field": "price", "percents": [50], "tdigest": {"compression": 200}}}}},
             "r": {"range": {"field": "price", "ranges": [{"to": 50}, {"from": 50}]}},
             "f": {"filters": {"filters": {"cheap": {"range": {"price": {"lt": 30}}}, "none": {"match_none": {}}}}},
             "top": {"terms": {"field": "active"}, "aggs": {"t": {"top_hits": {"size": 1, "sort": [{"price": "desc"}], "_source": ["name"]}}}},
@@ -122,6 +124,8 @@ def test_aggregations_nest(client):
     assert [(b["key"], b["m"]["value"]) for b in a["tags"]["buckets"][1]["by"]["buckets"]] == [("acme", 59.9), ("zeta", 89.0)]
     assert a["tags"]["buckets"][0]["active"] == {"doc_count": 1, "n": {"value": 1}}
     assert [(b["key_as_string"], b["doc_count"], round(b["c"]["value"], 2)) for b in a["months"]["buckets"]] == [("2024-01", 1, 59.9), ("2024-02", 2, 278.4), ("2024-03", 2, 392.4)]
+    assert a["kinds"] == {"value": 5}
+    assert [(b["key"], b["kinds"]["value"], b["half"]["values"]["50.0"]) for b in a["by_vendor"]["buckets"]] == [("acme", 3, 19.5), ("peak", 2, 25.0), ("zeta", 1, 89.0)]
     assert a["best"]["value"] == 218.5 and a["all"]["count"] == 5
     assert [(b["key"], b["doc_count"]) for b in a["r"]["buckets"]] == [("*-50.0", 2), ("50.0-*", 3)]
     assert a["f"]["buckets"] == {"cheap": {"doc_count": 2}, "none": {"doc_count": 0}}
