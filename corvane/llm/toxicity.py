@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +41,22 @@ class OrdinalModel:
     weights: dict[bytes, float]
     thresholds: list[float]
     least: float = 0.5  # chance of any grade above 0 from which a text counts as toxic
+    seen: dict[bytes, tuple[bytes, ...]] = field(default_factory=dict, repr=False, compare=False)  # the features of words met before, at most _FLUSH
+
+    def _of(self, word: bytes) -> tuple[bytes, ...]:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= _FLUSH:
+                self.seen.clear()
+            found = self.seen[word] = tuple(f for f in _features((word,)) if f in self.weights)
+        return found
 
     def severity(self, text: bytes | None) -> tuple[float, float]:
         """The chance of any grade above 0 and the expected grade; both 0 for a text without words."""
         words = _words(text) if text else []
         if not words:
             return 0.0, 0.0
-        counts = Counter(f for f in _features(words) if f in self.weights)
+        counts = Counter(f for w in words for f in self._of(w))
         score = sum(self.weights[w] * math.log1p(n) for w, n in counts.items())
         above = [1.0 / (1.0 + math.exp(min(700.0, t - score))) for t in self.thresholds]
         return above[0], sum(above)
