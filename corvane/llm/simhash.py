@@ -51,22 +51,38 @@ def _variants(fp: Column, low: int, width: int, tag: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct((F.lit(tag * 64) + j).cast("int").alias("s"), segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), j))).alias("v")))
 
 
+def _pieces(bits: int, distance: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of so many pieces of ``bits`` bits that of ``distance`` differing bits at most one lies in one of them; two at least."""
+    n = max(2, distance // 2 + 1)
+    cuts = [bits * k // n for k in range(n + 1)]
+    return [(low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]
+
+
+def _by_piece(tag: Column, values: list[Column]) -> Column:
+    """The value of the piece that a key belongs to."""
+    out = values[-1]
+    for k in reversed(range(len(values) - 1)):
+        out = F.when(tag == k, values[k]).otherwise(out)
+    return out
+
+
 def near_links(prints: DataFrame, distance: int = 3, hot: int = 4096) -> DataFrame:
     """Pairs a < b of the distinct fingerprints in column fp at most ``distance`` bits apart.
 
-    The 64 bits are cut into two segments; of up to three differing bits at most one lies in one of them. Each segment is
-    indexed once for each of its bits with that bit cleared, so such pairs share a key; equal keys are joined and the
-    pairs verified. Keys of over ``hot`` fingerprints are joined by a second key as well: the other segment, which
-    differs in three bits or fewer, is cut in two halves, again one-wildcard variants, so that no link is lost.
+    The 64 bits are cut into segments, two for up to three differing bits: at most one of these lies in one of them. Each
+    segment is indexed once for each of its bits with that bit cleared, so such pairs share a key; equal keys are joined
+    and the pairs verified. Keys of over ``hot`` fingerprints are joined by a second key as well: the rest of the bits,
+    which differ in ``distance`` or fewer, is cut in the same way, again one-wildcard variants, so that no link is lost.
     """
-    halves = F.concat(_variants(F.col("fp"), 0, 32, 0), _variants(F.col("fp"), 32, 32, 1))
-    keyed = prints.select("fp", F.explode(halves).alias("k")).select("fp", F.col("k.s").alias("s"), F.col("k.v").alias("v"))
+    segments = _pieces(64, distance)
+    variants = F.concat(*[_variants(F.col("fp"), low, width, k) for k, (low, width) in enumerate(segments)])
+    keyed = prints.select("fp", F.explode(variants).alias("k")).select("fp", F.col("k.s").alias("s"), F.col("k.v").alias("v"))
     counts = keyed.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     large = materialize(counts.select("s", "v"), "simhash-hot")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    low = F.col("s") < 64
+    tag = F.shiftright("s", 6)
     crossed = F.col("a").bitwiseXOR(F.col("b"))
-    segment = F.when(low, crossed.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftrightunsigned(crossed, 32))
+    segment = _by_piece(tag, [F.shiftrightunsigned(crossed, low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in segments])
     # A pair that shares a whole segment shares all its keys: it counts under the first alone.
     first = ((segment == 0) & (F.col("s") % 64 == 0)) | (segment == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s") % 64))
 
@@ -74,12 +90,17 @@ def near_links(prints: DataFrame, distance: int = 3, hot: int = 4096) -> DataFra
         both = left.withColumnRenamed("fp", "a").join(left.withColumnRenamed("fp", "b"), on)
         return both.where((F.col("a") < F.col("b")) & (apart <= distance) & first).select("a", "b")
 
+    def without(low: int, width: int) -> Column:
+        """The other bits, moved together."""
+        below = F.col("fp").bitwiseAND(F.lit((1 << low) - 1))
+        return below if low + width == 64 else below.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", low + width), low))
+
     if large.isEmpty():
         return met(keyed, ["s", "v"]).distinct()
     usual = met(keyed.join(large, ["s", "v"], "left_anti"), ["s", "v"])
-    other = F.when(low, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
-    finer = keyed.join(large, ["s", "v"]).withColumn("o", other)
-    finer = finer.select("fp", "s", "v", F.explode(F.concat(_variants(F.col("o"), 0, 16, 0), _variants(F.col("o"), 16, 16, 1))).alias("k2"))
+    finer = keyed.join(large, ["s", "v"]).withColumn("o", _by_piece(tag, [without(*x) for x in segments]))
+    parts = _pieces(64 - min(width for _, width in segments), distance)
+    finer = finer.select("fp", "s", "v", F.explode(F.concat(*[_variants(F.col("o"), low, width, k) for k, (low, width) in enumerate(parts)])).alias("k2"))
     return usual.unionByName(met(finer, ["s", "v", "k2"])).distinct()
 
 

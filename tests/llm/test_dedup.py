@@ -100,6 +100,19 @@ def test_no_link_is_lost(spark, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("distance", "hot"), [(0, 4096), (4, 4096), (4, 3), (7, 4096)])
+def test_no_link_is_lost_at_other_distances(spark, distance, hot):
+    import random
+
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(6)]
+    prints = set(base) | {b ^ sum(1 << i for i in r.sample(range(64), r.randint(1, distance + 1))) for b in base for _ in range(20)} | {0, 1, 7, 0x300000003, 2**64 - 1}
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    got = [tuple(x) for x in near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance, hot).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 300), (300, 299), (-5, 300)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).select("node", "label").collect())
