@@ -11,7 +11,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -27,19 +26,17 @@ _DIRECTORY = "first_key string, block_file string, block_offset long, block_leng
 
 
 def surt(url: str | None) -> str:
-    """A key that sorts the pages of a host together: the host's labels reversed, then path and query; scheme, ``www.``, port and fragment do not count."""
-    try:
-        parts = urlsplit((url or "").strip())
-        host = (parts.hostname or "").lower()
-    except ValueError:
-        return f"){url}"
-    host = host.removeprefix("www.")
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    """The key that ``_surt_column`` gives a URL, by that same expression."""
+    return SparkSession.active().range(1).select(_surt_column(F.lit(url).cast("string"))).first()[0]
 
 
 def _surt_column(url: Column) -> Column:
-    """``surt`` for usual URLs, of JVM functions; only the order and the reading of it matter to the index."""
-    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"#.*$|^\s+", "")
+    """A key that sorts the pages of a host together: the host's labels reversed, then path and query; scheme, ``www.``, port, fragment and blanks at either end do not count.
+
+    What is no usual URL has an empty host and all of it as path; only the order and the reading of it matter to the index.
+    """
+    line = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", " ")  # as index lines hold it
+    bare = F.regexp_replace(F.regexp_replace(line, r"#.*$", ""), r"^\s+|\s+$", "")
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?(?:[wW]{3}\.)?([^/:?]*)", 1))
     rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
     path = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))

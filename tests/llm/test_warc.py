@@ -77,3 +77,15 @@ def test_both_keys_agree(spark):
     urls = ["http://www.a.b.example/x?y=1#z", "https://A.example", "http://user@h.example:8080/p/q", "http://h.example?x=1", " http://h.example/ "]
     got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(warc._surt_column(F.col("u"))).collect()]
     assert [g.rstrip() for g in got] == [warc.surt(u) for u in urls]
+
+
+def test_lookup_finds_unusual_urls(spark, tmp_path):
+    urls = ["http://t.example/x ", "example.com/a", "//cdn.ex/a", "mailto:a@b.example", "http://a.ex/?", "http://[::1]:80/p", "http://c.ex/a\tb", "http://d.ex/a\r\nb", "http://e.ex/é#f", "ftp://[::bad", None]
+    index = warc.CaptureIndex.load(warc.write_archives(pages(spark, *[(i, u, "x") for i, u in enumerate(urls)]), f"file://{tmp_path}/warc"))
+    assert [[h["X-Page-ID"] for h, _ in index.lookup(u)] for u in urls] == [[str(i)] for i in range(len(urls))]
+
+
+def test_both_keys_agree_on_blanks(spark):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(warc._surt_column(F.lit(" http://h.example/ "))).first()[0] == "example,h)/" == warc.surt(" http://h.example/ ")
