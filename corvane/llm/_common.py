@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words of the licence, secret and benchmark contracts: runs of anything but ASCII that is neither letter nor digit.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The single characters of ``WORD_BREAK``.
+WORD_BREAKS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 #: The six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset and the driver is the only machine (tests), one of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -47,10 +51,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(others, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
-def split_words(text: Column, breaks: str = WORD_BREAK) -> Column:
-    """The array of words of a text that has been lower-cased; breaks at either end give no empty word."""
-    trimmed = F.regexp_replace(text, f"^{breaks}|{breaks}$", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, breaks)).otherwise(F.array().cast("array<string>"))
+def split_words(text: Column) -> Column:
+    """The array of words of a text that has been lower-cased; breaks at either end give no empty word. Time is linear, whatever runs of breaks there are."""
+    trimmed = F.btrim(text, F.lit(WORD_BREAKS))
+    return F.when(F.length(trimmed) > 0, F.split(trimmed, WORD_BREAK)).otherwise(F.array().cast("array<string>"))
 
 
 def n_blank_words(text: Column) -> Column:

@@ -131,17 +131,19 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _PHRASES = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, pos FROM (SELECT doc_id, {_grams(str(len(phrase)))} FROM d WHERE len(w) >= {len(phrase)}) WHERE gram = '{' '.join(phrase)}'" for label, phrase in BASE_PHRASES)
-_TEMPLATES = ", ".join(f"({t}, '{label}', string_split('{text}', ' '))" for t, (label, text) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(f"({t}, '{label}', string_split('{text}', ' '), '{key}')" for t, (label, text, key) in enumerate(TEMPLATES))
 
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-t AS (SELECT tid, label, len(w) - 2 AS n_of, {_grams("3")} FROM (VALUES {_TEMPLATES}) v(tid, label, w)),
+t AS (SELECT *, key = '' OR contains(' ' || gram || ' ', ' ' || key || ' ') AS told FROM (SELECT tid, label, key, len(w) - 2 AS n_of, {_grams("3")} FROM (VALUES {_TEMPLATES}) v(tid, label, w, key))),
 g AS (SELECT doc_id, {_grams("3")} FROM d WHERE len(w) >= 3),
-votes AS (SELECT doc_id, tid, label, n_of, g.pos - t.pos AS diag, count(*) AS v, min(g.pos) AS lo, max(g.pos) AS hi FROM g JOIN t USING (gram) GROUP BY 1, 2, 3, 4, 5),
+votes AS (SELECT doc_id, tid, label, n_of, g.pos - t.pos AS diag, count(*) AS v, min(g.pos) AS lo, max(g.pos) AS hi, bool_or(told) AS told FROM g JOIN t USING (gram) GROUP BY 1, 2, 3, 4, 5),
 opened AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) <= 2 THEN 0 ELSE 1 END AS opens FROM votes),
 islands AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS island FROM opened),
-spans AS (SELECT doc_id, label, n_of, least(CAST(1 AS DOUBLE), sum(v) / n_of) AS share, max(hi) + 3 - min(lo) AS width FROM islands GROUP BY doc_id, tid, label, n_of, island),
-found AS (SELECT doc_id, label, share FROM spans WHERE share >= 0.6 AND width <= 2 * (n_of + 2)),
+spans AS (SELECT doc_id, tid, label, n_of, sum(v) AS v, least(CAST(1 AS DOUBLE), sum(v) / n_of) AS share, min(lo) AS lo, max(hi) + 3 AS hi, bool_or(told) AS told FROM islands GROUP BY doc_id, tid, label, n_of, island),
+notices AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans WHERE share >= 0.6 AND hi - lo <= 2 * (n_of + 2) AND told),
+rivals AS (SELECT *, sum(CASE WHEN lo < reached THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY lo, hi, tid ROWS UNBOUNDED PRECEDING) AS rival FROM notices),
+found AS (SELECT doc_id, label, share FROM rivals QUALIFY row_number() OVER (PARTITION BY doc_id, rival ORDER BY v DESC, share DESC, lo, label, hi) = 1),
 base AS ({_PHRASES}),
 b AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM base GROUP BY 1),
 l AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM found) GROUP BY 1),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import brute
 import pytest
 
 from corvane.llm import queries
 from corvane.llm._common import table
 from corvane.llm.decontaminate import drop_contaminated, find_contamination
-from corvane.llm.license_scan import scan_licenses
+from corvane.llm.license_scan import TEMPLATES, scan_licenses
 from corvane.llm.secret_scan import scan_secrets, train_markov
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +66,35 @@ def test_license_cases(spark):
     assert scan_licenses(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_notices_compete(spark):
+    """Texts with the labels that a reader would give them."""
+    mit = TEMPLATES[[t[0] for t in TEMPLATES].index("mit") + 2][1]
+    cases = {
+        "This work is licensed under the GNU General Public License version 3.": "gpl,gpl-3.0",
+        "Licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "licensed under the GNU General Public License version 1": "gpl",
+        "licensed under the GNU Affero General Public License version 3": "agpl-3.0,gpl",
+        "licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",
+        "licensed under cc by nc sa 4 0": "cc-by,cc-by-nc-sa-4.0",
+        "licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc-4.0",
+        "Copyright (c) 2020 A. Writer " + mit.upper(): "mit",
+        "it is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
+        "Licensed under the MIT license. Other parts are licensed under the Apache License, Version 2.0. Licensed under CC BY 4.0": "apache-2.0,cc-by,cc-by-4.0,mit",
+        "a library licensed under the sea general version of things": "",
+    }
+    out = scan_licenses(docs(spark, *cases)).collect()
+    assert {list(cases)[r["doc_id"]]: r["labels"] for r in out} == cases
+    assert all(a["end"] <= b["first"] for r in out for a, b in zip(sorted(r["spans"], key=lambda x: x["first"]), sorted(r["spans"], key=lambda x: x["first"])[1:], strict=False))
+
+
+def test_long_runs_of_breaks_take_linear_time(spark):
+    dashes = "a " + "-" * 1_000_000 + " b"
+    start = time.perf_counter()
+    got = scan_licenses(docs(spark, dashes, "-" * 1_000_000, dashes * 3)).collect()
+    assert sorted((r["doc_id"], r["n_words"]) for r in got) == [(0, 2), (1, 0), (2, 4)] and time.perf_counter() - start < 30
+
+
 def test_secrets_match_brute_force(spark):
     d = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
     got = {r["doc_id"]: r for r in queries.op9_secrets(spark, "/root/testdata/sf0.01").collect()}
