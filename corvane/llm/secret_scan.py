@@ -4,79 +4,109 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+_NAMED = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+ASSIGN = _NAMED + r"([A-Za-z0-9+/_.=-]+)"
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
-#: What the models read: whole runs of these characters.
+#: What the models read: whole runs of these characters, but for the fixed forms within them, in parts of so many characters.
+LEAST_PART = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+WITHIN = _NAMED + r"[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(ALPHABET)
 
-
-def _matches(text: Column, pattern: str, may: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, text), in code points. Texts without ``may`` are not cut up."""
+#: Words of which ordinary identifiers are made. Fixed values, of the languages that identifiers and file names are written in.
+WORDS = (
+    "access account action address after agent archive array background balance before between billing block board branch bridge browser buffer build button cache call camera category center chain change channel "
+    "check child client cloud column command comment config connection content context control copy count country create current customer data date default delete description detail device directory display document "
+    "domain download element email enable encoding engine entry environment error event example expected export factory feature field file filter folder format found friend function garden general group handler header "
+    "health height helper history house image index information inner input insert instance interface item journal keyboard knowledge label language layer length level library light line link list load local location "
+    "logger machine manager market measure memory message method mode model module mountain name network number object offset option order output package page parameter parent partition path pattern people player "
+    "position previous price process product profile program project property provider public quality query queue quick random record region registry remote report request resource response result return right river "
+    "abteilung anfrage beispiel datei fehler gemeinde geschichte geschwindigkeit gesellschaft nachricht rechnung schule strasse verwaltung verzeichnis wissenschaft zeitung "
+    "ancien biblioteca bonjour ciudad commentaire compte demande desarrollo donnees ejemplo enfant espacio fichier gouvernement historia informacion jardin maison mensaje montagne nombre pregunta quelque reponse siempre trabajo usuario utilisateur ville"
+).split()
+
+
+def _events(text: Column, pattern: str, kind: str, may: str, good: object) -> Column:
+    """Leftmost non-overlapping matches: array of (kind, characters before it since the last one, its own, whether it counts). Texts without ``may`` are not cut up."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    pairs = F.zip_with(pieces, found, lambda p, m: _event(kind, F.length(p), F.coalesce(F.length(m), F.lit(0)), F.coalesce(good(m), F.lit(False))))
+    return F.when(F.regexp_like(text, F.lit(may)), pairs).otherwise(F.array().cast(_EVENTS))
+
+
+_EVENTS = "array<struct<k:int,gap:int,n:int,ok:boolean>>"
+
+
+def _event(kind: str, gap: Column, n: Column, ok: Column) -> Column:
+    return F.struct(F.lit(KINDS.index(kind)).alias("k"), gap.alias("gap"), n.alias("n"), ok.alias("ok"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(may)), F.aggregate(pairs, state, step, lambda a: a["out"])).otherwise(empty)
+def _parts(text: Column, llr: Column, least: float) -> Column:
+    """The parts of candidates that hold no fixed form, as events; those of enough characters, a letter among them, count by their score."""
+    pieces, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    runs = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
 
+    def part(x: Column, forms: Column, p: Column, i: Column) -> Column:
+        gap = F.when(i == 0, x["gap"]).otherwise(F.length(F.get(forms, i - 1)))
+        ok = (F.length(p) >= LEAST_PART) & F.regexp_like(p, F.lit("[A-Za-z]"))
+        return _event("markov", gap, F.length(p), F.when(ok, markov_score(p, llr) >= least).otherwise(F.lit(False)))
 
-def _spans(matches: Column, kind: str, good: object) -> Column:
-    return F.transform(F.filter(matches, good), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
+    def cut(x: Column) -> Column:
+        forms = F.regexp_extract_all(x["m"], F.lit(WITHIN), F.lit(0))
+        return F.transform(F.split(x["m"], WITHIN, -1), lambda p, i: part(x, forms, p, i))
+
+    return F.when(F.regexp_like(text, F.lit(CANDIDATE)), F.flatten(F.transform(F.filter(runs, lambda x: x["m"].isNotNull()), cut))).otherwise(F.array().cast(_EVENTS))
 
 
 def _shown(spans: Column) -> Column:
     """kind:start:end by start, then kind."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-
-def _bigrams(strings: DataFrame) -> DataFrame:
-    """Counts of pairs of the alphabet's characters within the strings of column s."""
-    at = F.sequence(F.lit(1), F.length("s") - 1)
-    return strings.where(F.length("s") > 1).select(F.explode(F.transform(at, lambda i: F.substring("s", i, F.lit(2)))).alias("g")).groupBy("g").count()
+    return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def train_markov(spark: SparkSession, ordinary: DataFrame, *, text_col: str = "text", documents: int = 2000, randoms: int = 4000) -> list[float]:
-    """The log-likelihood ratio of each pair of characters, random over ordinary, from labelled samples.
+def labelled_samples(spark: SparkSession, strings: int = 4000) -> DataFrame:
+    """The labelled sample of the models: column s, and random, whether s is a random string. ``strings`` bounds it: four of each sort for each.
 
-    Random strings: ``randoms`` each of hexadecimal, base-64 and alphanumeric digests. Ordinary ones: the words of about
-    ``documents`` documents (chosen by hash; the bound of the sample), alone and joined as identifiers. An empty table leaves ordinary strings
-    evenly spread, by the add-one counts. Only the counts of pairs of the alphabet, a fixed number, reach the driver.
+    Random strings are hexadecimal, base-64 and alphanumeric forms of digests. Ordinary ones are identifiers and paths of
+    two to four words in the usual spellings, some numbered, and ruled lines.
     """
-    n = max(1, ordinary.count())
-    text = F.col(text_col)
-    sample = ordinary.select(text_col).where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, documents / n))))
-    words = sample.select(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0)).alias("w")).withColumn("w", F.filter("w", lambda x: ~F.regexp_like(x, F.lit(r"[0-9a-f]{16}|AKIA|[0-9].*[A-Za-z].*[0-9]"))))
-    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws("_", a, b))
-    camel = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.initcap(F.coalesce(b, F.lit("")))))
-    plain = words.select(F.explode(F.concat("w", pairs, camel)).alias("s"))
+    ids = spark.range(strings)
     digest = F.sha2(F.col("id").cast("string"), 256)
-    random = spark.range(randoms).select(F.explode(F.array(digest, F.upper(F.substring(digest, 1, 40)), F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 512))), "[+/=]", ""))).alias("s"))
+    random = ids.select(F.explode(F.array(digest, F.upper(F.substring(digest, 1, 40)), F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 512))), "[+/=]", ""))).alias("s"))
+    draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
+    vocabulary = F.array(*[F.lit(w) for w in WORDS])
+    words = F.slice(F.array(*[F.get(vocabulary, draw(k, len(WORDS))) for k in range(4)]), F.lit(1), draw(4, 3) + 2)
+    number = F.when(draw(5, 3) == 0, F.concat(F.get(F.array(*[F.lit(x) for x in "_-"]), draw(6, 2)), draw(7, 10_000).cast("string"))).otherwise(F.lit(""))
+    joined = F.element_at(F.array(*[F.array_join(words, x) for x in ("_", "-", "/", "")]), draw(8, 4) + 1)
+    camel = F.array_join(F.transform(words, F.initcap), "")
+    rule = F.repeat(F.get(F.array(*[F.lit(x) for x in "-=_+/"]), draw(9, 5)), draw(10, 40) + 20)
+    ordinary = ids.select(F.explode(F.array(F.concat(joined, number), F.upper(F.concat(F.array_join(words, "_"), number)), F.concat(camel, number), F.when(draw(11, 4) == 0, rule).otherwise(joined))).alias("s"))
+    return random.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
+
+
+def train_markov(labelled: DataFrame) -> list[float]:
+    """The log-likelihood ratio of each pair of the alphabet's characters, random over ordinary, from strings s labelled random or not.
+
+    Each model is a chain of order one with add-one counts: a label without strings leaves its chain even. Pairs with
+    another character are left out, null strings and labels too. Only the counts of pairs, a fixed number, reach the driver.
+    """
     at = {a + b: i * _N + j for i, a in enumerate(ALPHABET) for j, b in enumerate(ALPHABET)}
+    strings = labelled.where((F.length("s") > 1) & F.col("random").isNotNull())
+    pairs = strings.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("g"))
+    counts = {label: [1.0] * (_N * _N) for label in (True, False)}
+    for r in pairs.where(F.regexp_like("g", F.lit("^[A-Za-z0-9+/_=-]{2}$"))).groupBy("random", "g").count().collect():
+        counts[r["random"]][at[r["g"]]] += r["count"]
 
-    def conditional(counts: DataFrame) -> list[float]:
-        c = [1.0] * (_N * _N)
-        for r in counts.where(F.length("g") == 2).collect():
-            if r["g"] in at:
-                c[at[r["g"]]] += r["count"]
+    def conditional(c: list[float]) -> list[float]:
         rows = [sum(c[i * _N : (i + 1) * _N]) for i in range(_N)]
         return [math.log(x / rows[i // _N]) for i, x in enumerate(c)]
 
-    return [a - b for a, b in zip(conditional(_bigrams(random)), conditional(_bigrams(plain)), strict=True)]
+    return [a - b for a, b in zip(conditional(counts[True]), conditional(counts[False]), strict=True)]
 
 
 def markov_score(s: Column, llr: Column) -> Column:
@@ -91,37 +121,47 @@ def scan_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """Secrets in documents.
 
     Fixed forms: assignments to names such as ``token``, access keys and runs of hexadecimal digits. Beyond them, runs of
-    20 or more characters, with a digit and a letter, are secrets where the mean log-likelihood ratio of the two Markov models is
-    at least ``least``; those that overlap a fixed form are not told twice. ``llr`` is ``train_markov``'s result, trained on
-    ``df`` where it is None.
+    20 or more characters of the alphabet, less the fixed forms within them, are secrets where they hold a letter and the
+    mean log-likelihood ratio of the two Markov models is at least ``least``; those that overlap a fixed form are not told
+    twice. ``llr`` is ``train_markov``'s result, trained on ``labelled_samples`` where it is None.
+
+    Matches are told as lengths, in order; running sums over a document's own rows make the places, so that time stays
+    linear in them.
 
     Returns one row per document: ``id_col``, n_assign, n_access, n_hex, n_markov, base_sha256, spans. Null counts as an
     empty text, without spans; null or repeated ids are rows of their own; an empty table gives no rows; other columns are
     not read.
     """
-    ratios = llr if llr is not None else train_markov(df.sparkSession, df, text_col=text_col)
+    ratios = llr if llr is not None else train_markov(labelled_samples(df.sparkSession))
     table = F.expr(f"array({','.join(f'{x!r}D' for x in ratios)})")
-    docs = df.select(F.col(id_col).alias("_cv_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_cv_t"))
     text = F.col("_cv_t")
+    docs = df.select(F.col(id_col).alias("_cv_id"), F.monotonically_increasing_id().alias("_cv_rid"), F.coalesce(F.col(text_col), F.lit("")).alias("_cv_t"))
+    own = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).alias("gap"), F.lit(0).alias("n"), F.lit(True).alias("ok")))
     docs = docs.select(
-        "_cv_id",
-        _spans(_matches(text, ASSIGN, ASSIGN), "assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12).alias("_cv_assign"),
-        _spans(_matches(text, "AKIA[A-Z0-9]{14,}", "AKIA[A-Z0-9]{14}"), "access", lambda x: x["e"] - x["s"] >= 18).alias("_cv_access"),
-        _spans(_matches(text, "[0-9a-f]{16,}", "[0-9a-f]{16}"), "hex", lambda x: x["e"] - x["s"] >= 16).alias("_cv_hex"),
-        _matches(text, CANDIDATE, CANDIDATE).alias("_cv_try"),
-    )
-    docs = docs.withColumn("_cv_base", F.concat("_cv_assign", "_cv_access", "_cv_hex"))
-    mixed = lambda x: F.regexp_like(x["m"], F.lit("[0-9]")) & F.regexp_like(x["m"], F.lit("[A-Za-z]"))
-    clear = lambda x: ~F.exists("_cv_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    docs = docs.withColumn("_cv_try", F.filter("_cv_try", lambda x: mixed(x) & clear(x)))
-    docs = docs.withColumn("_cv_markov", F.when(F.size("_cv_try") > 0, _spans(F.col("_cv_try"), "markov", lambda x: markov_score(x["m"], table) >= least)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
-    count = lambda c: F.size(c).cast("long")
-    return docs.select(
-        F.col("_cv_id").alias(id_col),
-        count("_cv_assign").alias("n_assign"),
-        count("_cv_access").alias("n_access"),
-        count("_cv_hex").alias("n_hex"),
-        count("_cv_markov").alias("n_markov"),
-        F.sha2(_shown(F.col("_cv_base")), 256).alias("base_sha256"),
-        _shown(F.concat("_cv_base", "_cv_markov")).alias("spans"),
-    )
+        "_cv_id", "_cv_rid",
+        F.concat(
+            own,
+            _events(text, ASSIGN, "assign", ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12),
+            _events(text, "AKIA[A-Z0-9]{14,}", "access", "AKIA[A-Z0-9]{14}", lambda m: F.length(m) >= 18),
+            _events(text, "[0-9a-f]{16,}", "hex", "[0-9a-f]{16}", lambda m: F.length(m) >= 16),
+            _parts(text, table, least),
+        ).alias("_cv_events"),
+    )
+    # Dealt out by the outer form, as the other puts a filter on the array's size into the plan, which would make it again.
+    rows = docs.select("_cv_id", "_cv_rid", F.posexplode_outer("_cv_events").alias("_cv_i", "x")).select(F.when(F.col("_cv_i") == 0, F.col("_cv_id")).alias("_cv_id"), "_cv_rid", "_cv_i", "x.*")
+    rows = rows.repartition("_cv_rid")
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_cv_rid", "k").orderBy("_cv_i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("_cv_id", "_cv_rid", "k", "ok", (end - F.col("n")).cast("int").alias("s"), end.cast("int").alias("e")).where("ok")
+    base = F.col("k").between(0, 2)
+    before = Window.partitionBy("_cv_rid").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_cv_rid").orderBy(F.desc("s"), "k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_cv_to", F.max(F.when(base, F.col("e"))).over(before)).withColumn("_cv_from", F.min(F.when(base, F.col("s"))).over(after))
+    clear = F.coalesce(F.col("_cv_to") <= F.col("s"), F.lit(True)) & F.coalesce(F.col("_cv_from") >= F.col("e"), F.lit(True))
+    rows = rows.where((F.col("k") < 3) | clear)
+    span = F.struct("s", "k", "e")
+    count = lambda kind: F.count(F.when(F.col("k") == KINDS.index(kind), True)).alias(f"n_{kind}")
+    told = rows.groupBy("_cv_rid").agg(
+        F.first("_cv_id", ignorenulls=True).alias(id_col), *[count(k) for k in KINDS],
+        F.collect_list(F.when(base, span)).alias("_cv_base"), F.collect_list(F.when(F.col("k") >= 0, span)).alias("_cv_all"),
+    )
+    return told.select(id_col, *[f"n_{k}" for k in KINDS], F.sha2(_shown(F.col("_cv_base")), 256).alias("base_sha256"), _shown(F.col("_cv_all")).alias("spans"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -53,3 +54,33 @@ def base_secrets(text: str | None) -> tuple:
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
     told = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out))
     return (*[sum(k == j for _, j, _ in out) for k in range(3)], hashlib.sha256(told.encode()).hexdigest())
+
+
+def markov_ratios(strings: list[tuple[str, bool]], alphabet: str) -> dict[str, float]:
+    """Log-likelihood ratio of each pair of characters from strings labelled random or not, by add-one counts."""
+    logs = {}
+    for label in (True, False):
+        seen = Counter(s[i : i + 2] for s, random in strings if random == label for i in range(len(s) - 1))
+        for a in alphabet:
+            total = sum(seen[a + b] + 1 for b in alphabet)
+            for b in alphabet:
+                logs[label, a + b] = math.log((seen[a + b] + 1) / total)
+    return {g: logs[True, g] - logs[False, g] for _, g in logs}
+
+
+def markov_spans(text: str | None, ratios: dict[str, float], least: float = 0.7) -> list[tuple[int, int]]:
+    """Parts of long runs outside fixed forms whose mean ratio is high enough."""
+    t, base, out = text or "", [], []
+    base += [m.span() for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    base += [m.span() for m in re.finditer("AKIA[A-Z0-9]{14,}", t)] + [m.span() for m in re.finditer("[0-9a-f]{16,}", t)]
+    named = ASSIGN.pattern[: ASSIGN.pattern.rindex("([")]
+    for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+        at = 0
+        forms = [m.span() for m in re.finditer(named + "[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", run[0])]
+        for s, e in [*forms, (len(run[0]), len(run[0]))]:
+            part, start = run[0][at:s], run.start() + at
+            if len(part) >= 20 and re.search("[A-Za-z]", part) and not any(x < start + len(part) and start < y for x, y in base):
+                if sum(ratios[part[i : i + 2]] for i in range(len(part) - 1)) / (len(part) - 1) >= least:
+                    out.append((start, start + len(part)))
+            at = e
+    return out
