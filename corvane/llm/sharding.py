@@ -55,9 +55,10 @@ def assign_shards(df: DataFrame, *, shards: int = 8, id_col: str = "doc_id", tex
 
     Keys are (hash of the text, hash of the row's number). A size-weighted sample of about ``samples`` keys (the
     documented bound of what reaches the driver) gives the splitters of ``ranges`` ranges; the true bytes of each range
-    are counted over all rows, ranges above ``overfull`` times their share are drawn again and subdivided, and runs of
-    ranges make the shards. Equal texts stand side by side and are cut only where they fill several ranges or meet a
-    shard's edge.
+    are counted over all rows, ranges above ``overfull`` times their share are drawn again and subdivided until none is or
+    no draw parts it, and runs of ranges make the shards. Equal texts stand side by side and are cut only where they fill
+    several ranges or meet a shard's edge: the law is that of near equal bytes, so a group of copies larger than its
+    share of bytes goes to more than one shard.
 
     Returns the input's columns (only ``id_col`` without ``carry``) and size, text_crc32, law, shard, slot and
     grown_shard. A null text counts as empty, a null or repeated id is just another row, an empty table gives no rows;
@@ -82,17 +83,18 @@ def assign_shards(df: DataFrame, *, shards: int = 8, id_col: str = "doc_id", tex
     shard_of = [0]
     if total:
         splitters = _quantiles(_draw(rows, total / samples, seed), ranges)
-        for again in range(5):
+        again = 0
+        while True:
             ranged = rows.withColumn("_cv_range", _range_of(F.col("_cv_h"), F.col("_cv_t"), splitters))
             full = {r[0]: (r[1], r[2]) for r in ranged.groupBy("_cv_range").agg(F.sum("_cv_size"), F.count("*")).collect()}
             over = [r for r, (size, n) in full.items() if n > 1 and size > overfull * total / ranges]
-            if not over or again == 4:
+            if not over:
                 break
             inside = ranged.where(F.array_contains(_longs(sorted(over)), F.col("_cv_range").cast("long")))
             more = [(h, t) for h, t, _ in _draw(inside, total / ranges / 2, seed + 1 + again)]
             if set(more) <= set(splitters):
                 break
-            splitters = sorted({*splitters, *more})
+            splitters, again = sorted({*splitters, *more}), again + 1
         shard_of, before = [], 0
         for r in range(len(splitters) + 1):
             size = full.get(r, (0, 0))[0]
