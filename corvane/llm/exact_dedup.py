@@ -18,8 +18,8 @@ def _split(active: DataFrame, by: list[str], width: int, tag: str) -> DataFrame:
 
     A group is told by its parent's number, the next ``width`` bytes and whether the text ends within them. Groups are
     counted with a map-side combine and those of two or more rows written. Rows and groups then come to the join from
-    exchanges of their own, so that adaptive execution can split the rows of a hot group. A row without such a group is
-    alone.
+    exchanges of their own, so that adaptive execution can split the rows of a hot group, and meet by sorting, which
+    spills where digits do not fit into memory. A row without such a group is alone.
     """
     rest = F.col("_cv_rest")
     keyed = active.withColumn("_cv_digit", F.substring(rest, 1, width)).withColumn("_cv_end", F.octet_length(rest) <= width)
@@ -27,7 +27,7 @@ def _split(active: DataFrame, by: list[str], width: int, tag: str) -> DataFrame:
     best = F.min(F.struct((-F.col("_cv_ncp")).alias("n"), F.col("_cv_id").isNull().alias("no_id"), F.col("_cv_id").alias("id"), F.col("_cv_rid").alias("rid")))
     groups = keyed.groupBy(*key).agg(F.count("*").alias("_cv_size"), best.alias("_cv_best"), F.min("_cv_rid").alias("_cv_next")).where("_cv_size > 1")
     groups = materialize(groups, f"{tag}-groups")
-    joined = keyed.join(groups.hint("shuffle_hash"), key, "left")
+    joined = keyed.join(groups.hint("merge"), key, "left")
     on = F.col("_cv_size").isNotNull() & ~F.col("_cv_end")
     out = joined.select(
         "_cv_rid", "_cv_id", "_cv_ncp", "_cv_sha", on.alias("_cv_on"), F.col("_cv_next").alias("_cv_gid"),
