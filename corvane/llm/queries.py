@@ -103,9 +103,9 @@ FROM bare WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
-f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY t) END AS first FROM p)
-SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to
+f AS (SELECT *, n >= 100 AND page_id IS NOT NULL AND row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST) > 1 AS again, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
 FROM f
 """
 
