@@ -9,99 +9,156 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a symbol, and symbols of the longest context: a node of a tree is a string of up to ORDER + 1 symbols.
-BITS, ORDER = 6, 3
-_SYMBOLS = 1 << BITS
+#: Bytes of the longest context: a leaf of a tree is a string of ORDER + 1 bytes.
+ORDER = 4
 _PIECE = 1 << 20
 
 
-def symbol_table(frequent: list[int]) -> np.ndarray:
-    """Symbols of the byte values: a blank, a digit, other ASCII, the letters (A-Z as a-z), the bytes above ASCII in ``frequent``, and one for the rest."""
-    table = np.full(256, 2, dtype=np.int32)
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    table[48:58] = 1
-    table[65:91] = table[97:123] = np.arange(3, 29)
-    table[128:] = 29
-    for i, b in enumerate(frequent[: _SYMBOLS - 30]):
-        table[b] = 30 + i
-    return table
-
-
-def _codes(symbols: np.ndarray) -> np.ndarray:
-    """The last ORDER + 1 symbols at each place but the first ORDER, as one number."""
-    n = len(symbols) - ORDER
-    code = symbols[:n].copy()
-    for k in range(1, ORDER + 1):
-        code = (code << BITS) | symbols[k : n + k]
+def _codes(raw: np.ndarray, longest: int = ORDER) -> np.ndarray:
+    """The last ``longest`` + 1 bytes at each place but the first ``longest``, as one number."""
+    n = max(0, len(raw) - longest)
+    code = raw[:n].astype(np.int64)
+    for k in range(1, longest + 1):
+        code <<= 8
+        code |= raw[k : n + k]
     return code
 
 
+def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """The place of each number in a sorted array, -1 where it is not in it."""
+    if not len(where):
+        return np.full(len(what), -1)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return np.where(where[at] == what, at, -1)
+
+
+@dataclass
+class _Level:
+    """A language's contexts of one length, ascending, and the strings of a context and its successor, ascending.
+
+    Of a context: how often it was seen, its kinds of successors, and both again for the context one shorter without
+    these successors, which is what that one is asked after an escape.
+    """
+
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    below_total: np.ndarray
+    below_kinds: np.ndarray
+    strings: np.ndarray
+    counts: np.ndarray
+
+
+def _tree(strings: np.ndarray, counts: np.ndarray, longest: int) -> list[_Level]:
+    """The levels of a language, shortest contexts first, from its strings of ``longest`` + 1 bytes and how often each was seen."""
+    levels: list[_Level] = []
+    for k in range(longest + 1):
+        own, at = np.unique(strings % 256 ** (k + 1), return_inverse=True)
+        n = np.bincount(at, weights=counts, minlength=len(own))
+        contexts, where = np.unique(own >> 8, return_inverse=True)
+        total, kinds = np.bincount(where, weights=n, minlength=len(contexts)), np.bincount(where, minlength=len(contexts)).astype(float)
+        if k:
+            up = levels[-1]
+            parent = _find(up.contexts, contexts % 256 ** (k - 1))
+            gone = np.bincount(where, weights=up.counts[_find(up.strings, own % 256**k)], minlength=len(contexts))
+            below_total, below_kinds = up.total[parent] - gone, up.kinds[parent] - kinds
+        else:
+            below_total, below_kinds = np.zeros(len(contexts)), np.zeros(len(contexts))
+        levels.append(_Level(contexts, total, kinds, below_total, below_kinds, own, n))
+    return levels
+
+
+def _tree_bits(levels: list[_Level], code: np.ndarray) -> np.ndarray:
+    """The code length of the last byte of each string after the others, by the recursion of method C with exclusion."""
+    bits, left = np.zeros(len(code)), np.arange(len(code))
+    total, kinds, escaped = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code), bool)
+    for k in reversed(range(len(levels))):
+        level, c = levels[k], code[left]
+        at = _find(level.contexts, (c >> 8) % 256**k)
+        met = at >= 0
+        fresh = met & ~escaped[left]
+        total[left[fresh]], kinds[left[fresh]] = level.total[at[fresh]], level.kinds[at[fresh]]
+        whole = total[left] + kinds[left]
+        told = _find(level.strings, c % 256 ** (k + 1))
+        hit = told >= 0
+        bits[left[hit]] += np.log2(whole[hit] / level.counts[told[hit]])
+        out = met & ~hit & (kinds[left] > 0)
+        bits[left[out]] += np.log2(whole[out] / kinds[left[out]])
+        total[left[met]], kinds[left[met]], escaped[left[met]] = level.below_total[at[met]], level.below_kinds[at[met]], True
+        left = left[~hit]
+    root = levels[0].kinds[0] if len(levels[0].kinds) else 0
+    bits[left] += math.log2(max(1.0, 256 - root))
+    return bits
+
+
 @dataclass
 class PpmModel:
-    """Frozen statistics: for each language the code length, in bits, of a symbol after its context.
+    """Frozen statistics: the trees of each language over bytes.
 
-    Escapes follow method C without exclusion: in a context seen T times with D successors, a symbol seen c times costs
-    -log2(c / (T + D)), another -log2(D / (T + D)) and its cost in the context one shorter; a context not seen costs
-    nothing; below the empty context all symbols are alike.
+    Code lengths are exact, with the longest context seen and escapes by method C with exclusion: in a context seen T times
+    with D kinds of successors, a byte seen c times costs -log2(c / (T + D)), another -log2(D / (T + D)) and its cost in the
+    context one shorter, where the kinds already refused count no more; a context not seen costs nothing; below the empty
+    context the bytes never seen are alike. ``bits`` holds what strings seen in any language cost in each, so that others
+    alone are walked through the trees.
     """
 
     languages: list[str]
-    table: np.ndarray
-    seen: np.ndarray  # sorted strings of ORDER + 1 symbols that some language has seen
-    seen_bits: np.ndarray  # their lengths, by language
-    escape: np.ndarray  # of each longest context, by language
-    shorter: np.ndarray  # length of the last symbol after the context one shorter
+    trees: list[list[_Level]]
+    seen: np.ndarray
+    bits: np.ndarray
+    longest: int = ORDER
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> PpmModel:
+    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], longest: int = ORDER) -> PpmModel:
+        """From each language's strings of ``longest`` + 1 bytes and their counts."""
         languages = sorted(counts)
+        trees = [_tree(*counts[x], longest) for x in languages]
         seen = np.unique(np.concatenate([counts[x][0] for x in languages])) if languages else np.zeros(0, np.int64)
-        wide = _SYMBOLS**ORDER
-        seen_bits, escapes, shorters = (np.zeros((n, len(languages)), np.float32) for n in (len(seen), wide, wide))
-        for x, name in enumerate(languages):
-            codes, n = counts[name]
-            bits = np.full(_SYMBOLS, math.log2(_SYMBOLS))
-            for order in range(ORDER):
-                c = np.bincount(codes % _SYMBOLS ** (order + 1), weights=n, minlength=_SYMBOLS ** (order + 1)).reshape(-1, _SYMBOLS)
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-                below = np.tile(bits.reshape(-1, _SYMBOLS), (c.shape[0] // max(1, bits.size // _SYMBOLS), 1))
-                bits = np.where(c > 0, -np.log2(np.maximum(c, 1) / np.maximum(total + kinds, 1)), escape + below).reshape(-1)
-            context = codes // _SYMBOLS
-            total, kinds = np.bincount(context, weights=n, minlength=wide), np.bincount(context, minlength=wide)
-            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-            own = escape[seen // _SYMBOLS] + bits[seen % wide]
-            at = np.searchsorted(seen, codes)
-            own[at] = -np.log2(n / (total + kinds)[context])
-            seen_bits[:, x], escapes[:, x], shorters[:, x] = own, escape, bits
-        return cls(languages, table, seen.astype(np.int64), seen_bits, escapes, shorters)
+        bits = np.stack([_tree_bits(t, seen) for t in trees], axis=1).astype(np.float32) if trees else np.zeros((0, 0), np.float32)
+        return cls(languages, trees, seen.astype(np.int64), bits, longest)
 
     def index(self) -> np.ndarray:
-        """For each string of ORDER + 1 symbols its row in ``seen_bits``, or -1."""
-        rows = np.full(_SYMBOLS ** (ORDER + 1), -1, dtype=np.int32)
-        rows[self.seen] = np.arange(len(self.seen), dtype=np.int32)
-        return rows
+        """A hash table of places in ``seen``, of which the last to fall on a slot stays; what it does not tell is searched."""
+        width = max(10, (4 * len(self.seen)).bit_length())
+        slots = np.full(1 << width, 0, dtype=np.int32)
+        slots[_slot(self.seen, width)] = np.arange(len(self.seen), dtype=np.int32)
+        return slots
 
-    def lengths(self, texts: list[bytes], rows: np.ndarray) -> np.ndarray:
+    def lengths(self, texts: list[bytes], slots: np.ndarray) -> np.ndarray:
         """The code length of each text under each language, in bits. Long texts are taken in pieces that overlap by a context."""
         out = np.zeros((len(texts), len(self.languages)))
-        wide, blank = _SYMBOLS**ORDER, b" " * ORDER
+        width, blank = len(slots).bit_length() - 1, b" " * self.longest
+        missed: list[np.ndarray] = []
+        of: list[int] = []
         for i, text in enumerate(texts):
             whole = blank + text
             for at in range(0, len(text), _PIECE):
-                code = _codes(self.table[np.frombuffer(whole[at : at + _PIECE + ORDER], dtype=np.uint8)])
-                row = rows[code]
-                got = row >= 0
-                out[i] += self.seen_bits[row[got]].sum(0, dtype=np.float64)
-                if not got.all():
-                    miss = code[~got]
-                    out[i] += (self.escape[miss >> BITS] + self.shorter[miss % wide]).sum(0, dtype=np.float64)
+                code = _codes(np.frombuffer(whole[at : at + _PIECE + self.longest], dtype=np.uint8), self.longest)
+                row = slots[_slot(code, width)]
+                off = np.flatnonzero(self.seen[row] != code)
+                if len(off):
+                    row[off] = _find(self.seen, code[off])
+                    unseen = off[row[off] < 0]
+                    if len(unseen):
+                        missed.append(code[unseen])
+                        of.append(i)
+                        row = row[row >= 0]
+                out[i] += self.bits[row].sum(0, dtype=np.float64)
+        if missed:
+            at, code = np.repeat(of, [len(m) for m in missed]), np.concatenate(missed)
+            for x, tree in enumerate(self.trees):
+                out[:, x] += np.bincount(at, weights=_tree_bits(tree, code), minlength=len(texts))
         return out
 
 
+def _slot(code: np.ndarray, width: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+
+
 _LOADED: dict[str, tuple[PpmModel, np.ndarray]] = {}
 
 
@@ -113,40 +170,33 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Fit the trees on about ``documents`` documents of each language, chosen by the id's hash among those that are not held out.
 
     The bound is on the sample alone; its counts are made by the executors, and what reaches the driver is one number for
-    each string of four symbols and language. Rows without a text or language are left out; with no row left the model has
+    each string of ORDER + 1 bytes and language that the sample holds. Rows without a text or language are left out; with no row left the model has
     no language.
     """
     known = df.where(~_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
-        return PpmModel.fit({}, symbol_table([]))
+        return PpmModel.fit({})
     many = 1_000_003
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, math.ceil(many * min(1.0, documents / n))).otherwise(share)
     sample = known.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(6)), F.lit(many)) < share)
     sample = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    high = _counted(sample, None).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(_SYMBOLS - 30).collect()
-    table = symbol_table([r[0] for r in high])
-    found = _counted(sample, table).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    names, codes, n = np.array(found["lang"].to_pylist(), dtype=object), found["code"].to_numpy(), found["n"].to_numpy()
-    return PpmModel.fit({x: (codes[names == x], n[names == x].astype(float)) for x in sizes if (names == x).any()}, table)
+    found = _counted(sample).groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    by = {x: found.filter(pc.equal(found["lang"], x)) for x in sizes}
+    return PpmModel.fit({x: (t["code"].to_numpy(), t["n"].to_numpy().astype(float)) for x, t in by.items() if t.num_rows})
 
 
-def _counted(sample: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """Counts, by language and batch, of strings of four symbols, or of bytes above ASCII where there is no table."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """Counts, by language and batch, of strings of ORDER + 1 bytes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, dict[int, int]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = by.setdefault(lang, {})
-                raw = np.frombuffer((b"" if table is None else b" " * ORDER) + text, dtype=np.uint8)
-                codes, n = np.unique(raw[raw > 127].astype(np.int64) if table is None else _codes(table[raw]).astype(np.int64), return_counts=True)
-                for c, k in zip(codes.tolist(), n.tolist(), strict=True):
-                    seen[c] = seen.get(c, 0) + k
-            rows = [(lang, c, k) for lang, seen in by.items() for c, k in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "code", "n"])
+            for lang in batch.column(0).unique().to_pylist():
+                texts = batch.filter(pc.equal(batch.column(0), lang)).column(1).to_pylist()
+                codes, n = np.unique(np.concatenate([_codes(np.frombuffer(b" " * ORDER + t, dtype=np.uint8)) for t in texts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     return sample.mapInArrow(of, "lang string, code long, n long")
 
@@ -160,7 +210,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     prediction; null ids are not held out; an empty table gives no rows.
     """
     model = model or train(df, id_col=id_col, text_col=text_col, lang_col=lang_col, documents=documents)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the strings of four symbols of 64
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the strings of the sample
     kept = [c for c in (df.columns if carry else [id_col]) if c not in ("held_out", "lang_pred", "score")]
     letters = F.coalesce(F.regexp_like(text_col, F.lit(r"\p{L}")), F.lit(False))
     slim = df.select(*[F.col(f"`{c}`") for c in kept], _held_out(id_col).alias("held_out"), F.when(letters, F.col(text_col).cast("binary")).alias("_cv_bytes"))
@@ -175,10 +225,11 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
             texts, n = batch.column(len(kept) + 1), len(batch)
             best, score = np.full(n, len(languages) - 1), np.zeros(n)
             some = [i for i in range(n) if texts[i].is_valid] if model.languages else []
-            for i in some:
-                bits = model.lengths([texts[i].as_py()], rows)[0]
-                best[i] = bits.argmin()
-                score[i] = 1.0 / np.exp2(np.maximum(bits.min() - bits, -1000.0)).sum()
+            for at in range(0, len(some), 256):  # of so many texts at once the strings seen nowhere are kept
+                part = some[at : at + 256]
+                bits = model.lengths([texts[i].as_py() for i in part], rows)
+                best[part] = bits.argmin(1)
+                score[part] = 1.0 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0)).sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array([languages[i] for i in best], pa.string()), pa.array(score)], [*kept, "held_out", "lang_pred", "score"])
 
     return slim.mapInArrow(of, slim.drop("_cv_bytes").schema.add("lang_pred", "string").add("score", "double"))

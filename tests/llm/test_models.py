@@ -21,43 +21,51 @@ def docs(spark, *rows):
     return spark.createDataFrame([(i, t, lang, "x", -1, "y") for i, t, lang in rows], SCHEMA)
 
 
-def plain_bits(sample, text, order=lang_id.ORDER):
-    """Code length of a text after the strings of a sample, by the recursion of method C."""
+def plain_bits(sample, text, order):
+    """Code length of a text after the texts of a sample, byte by byte, by method C with exclusion."""
     count = defaultdict(lambda: defaultdict(int))
     for s in sample:
-        s = [0] * order + list(s)
+        s = b" " * order + s
         for i in range(order, len(s)):
             for k in range(order + 1):
-                count[tuple(s[i - k : i])][s[i]] += 1
-    size = 1 << lang_id.BITS
-
-    def cost(context, x):
-        if context is None:
-            return math.log2(size)
-        c = count.get(context)
-        below = context[1:] if context else None
-        if not c:
-            return cost(below, x)
-        total = sum(c.values()) + len(c)
-        return -math.log2(c[x] / total) if c.get(x) else -math.log2(len(c) / total) + cost(below, x)
-
-    t = [0] * order + list(text)
-    return sum(cost(tuple(t[i - order : i]), t[i]) for i in range(order, len(t)))
-
-
-def test_code_lengths_match_the_recursion():
-    table = lang_id.symbol_table([195])
-    samples = {"a": [b"the cat sat on the mat", b"a cat"], "b": ["le chat é là".encode(), b"la table"]}
+                count[s[i - k : i]][s[i]] += 1
+    bits, t = 0.0, b" " * order + text
+    for i in range(order, len(t)):
+        refused = set()
+        for k in reversed(range(order + 1)):
+            left = {x: n for x, n in count.get(t[i - k : i], {}).items() if x not in refused}
+            total = sum(left.values()) + len(left)
+            if t[i] in left:
+                bits -= math.log2(left[t[i]] / total)
+                break
+            if left:
+                bits -= math.log2(len(left) / total)
+            refused |= set(left)
+        else:
+            bits += math.log2(256 - len(refused))
+    return bits
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
+def test_code_lengths_match_the_recursion(order):
+    samples = {"a": [b"the cat sat on the mat", b"a cat", b"The end"], "b": ["le chat é là".encode(), b"la table", b"aaaaaaaaab"]}
     counts = {}
     for name, texts in samples.items():
-        codes = np.concatenate([lang_id._codes(table[np.frombuffer(b" " * lang_id.ORDER + t, np.uint8)]) for t in texts]).astype(np.int64)
-        # Short contexts are counted from the longest: each text starts after blanks.
-        counts[name] = tuple(np.unique(codes, return_counts=True))
-    model = lang_id.PpmModel.fit({k: (c, n.astype(float)) for k, (c, n) in counts.items()}, table)
-    for text in (b"the mat", b"la chatte", "é?".encode(), b"xyz 99"):
-        got = model.lengths([text], model.index())[0]
-        for i, name in enumerate(model.languages):
-            assert got[i] == pytest.approx(plain_bits([table[np.frombuffer(t, np.uint8)] for t in samples[name]], table[np.frombuffer(text, np.uint8)]), rel=1e-4)
+        codes, n = np.unique(np.concatenate([lang_id._codes(np.frombuffer(b" " * order + t, np.uint8), order) for t in texts]), return_counts=True)
+        counts[name] = (codes, n.astype(float))
+    model = lang_id.PpmModel.fit(counts, order)
+    for text in (b"the mat", b"la chatte", "é?".encode(), b"xyz 99", b"\x00\xff", b"", b"aaaaaaaaaaaaaaac", bytes(range(256)), b"the cat sat on the table " * 40):
+        got = model.lengths([b"the", text], model.index())[1]
+        assert list(got) == pytest.approx([plain_bits(samples[x], text, order) for x in model.languages], rel=1e-5)
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    codes, n = np.unique(lang_id._codes(np.frombuffer(b"    some words of a sample of some words", np.uint8)), return_counts=True)
+    model = lang_id.PpmModel.fit({"a": (codes, n.astype(float))})
+    text = b"some words and other words " * 50
+    whole = model.lengths([text], model.index())[0]
+    monkeypatch.setattr(lang_id, "_PIECE", 37)
+    assert model.lengths([text], model.index())[0] == pytest.approx(whole)
 
 
 def test_language_id_held_out_accuracy(spark):
