@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,10 +113,50 @@ def test_cumulative_link_shares_weights():
     x = r.normal(size=(600, 2))
     score = 2 * x[:, 0] - x[:, 1] + r.logistic(size=600)
     grades = (score > 0).astype(int) + (score > 2)
-    w, cuts = toxicity.fit_cumulative_link(x, grades, 3)
+    w, cuts = toxicity.fit_cumulative_link(toxicity.SparseRows.of(x), grades, 3)
     assert cuts[0] < cuts[1] and w[0] == pytest.approx(2, abs=0.4) and w[1] == pytest.approx(-1, abs=0.3) and cuts[1] - cuts[0] == pytest.approx(2, abs=0.4)
 
 
+def plain_features(text):
+    """Words as bytes, and their beginnings of 3 to 7 bytes with a star, as often as they come."""
+    words = [w.encode() for w in brute.words(text)]
+    return Counter([*words, *(w[:n] + b"*" for w in words for n in (3, 4, 5, 6, 7) if len(w) > n)])
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Which features are learned, and every text's severity under the learned model."""
+    d = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, SF, "labels").collect() if r["toxic"] is not None}
+    model = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    sample = [(bool(labels[i]), set(plain_features(t))) for i, t in d.items() if i in labels and t is not None]
+    n, bad = Counter(y for y, _ in sample), Counter(f for y, fs in sample if y for f in fs)
+    every = Counter(f for _, fs in sample for f in fs)
+
+    def ratio(f):
+        a, b = bad[f], every[f] - bad[f]
+        share = every[f] / len(sample)
+        cells = [(a, share * n[True]), (b, share * n[False]), (n[True] - a, (1 - share) * n[True]), (n[False] - b, (1 - share) * n[False])]
+        return 2 * sum(k * math.log(k / e) for k, e in cells if k)
+
+    assert set(model.weights) == {f for f, c in every.items() if c >= 8 and ratio(f) > 15}
+    got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, SF).collect()}
+    assert set(got) == set(d)
+    for i, text in d.items():
+        counts = plain_features(text)
+        score = sum(model.weights[f] * math.log(1 + c) for f, c in counts.items() if f in model.weights)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds] if counts else [0.0]
+        assert got[i]["severity"] == pytest.approx(sum(above), abs=1e-6) and got[i]["toxic_probability"] == pytest.approx(above[0], abs=1e-6)
+        assert got[i]["toxic"] == (got[i]["toxic_probability"] >= model.least)
+
+
+def test_given_grades_are_learned(spark):
+    words = ["calm", "rude", "vile", "awful"]
+    rows = [(i, f"{words[i % 4]} talk number {i}", None) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 4) for i in range(200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["severity"] for r in toxicity.grade_toxicity(docs(spark, *rows), labels).collect()}
+    assert all(abs(got[i] - i % 4) < 0.4 for i in range(200))
+
+
 def test_toxicity_cases(spark):
     rows = [(i, ("you idiot clown " if i % 2 else "a fine calm day ") + f"number {i} in the town", None) for i in range(60)]
     rows += [(100, None, None), (101, "", None), (102, "idiot " * 50_000, None), (None, "calm day", None), (2, "calm day again", None)]
