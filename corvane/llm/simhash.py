@@ -73,7 +73,9 @@ def near_links(prints: DataFrame, distance: int = 3, hot: int = 4096) -> DataFra
     segment is indexed once for each of its bits with that bit cleared, so such pairs share a key; equal keys are joined
     and the pairs verified. Keys of over ``hot`` fingerprints are joined by a second key as well: the rest of the bits,
     which differ in ``distance`` or fewer, is cut in the same way, again one-wildcard variants, so that no link is lost.
+    Prints are few bytes in few files: they are dealt to as many tasks as a shuffle has before their keys are made.
     """
+    prints = prints.select("fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     segments = _pieces(64, distance)
     variants = F.concat(*[_variants(F.col("fp"), low, width, k) for k, (low, width) in enumerate(segments)])
     keyed = prints.select("fp", F.explode(variants).alias("k")).select("fp", F.col("k.s").alias("s"), F.col("k.v").alias("v"))
