@@ -48,18 +48,29 @@ def fuzzy_any(tokens: Column, term: str, edits: int, prefix: int = 0) -> Column:
     return (F.size(near) > 0) & close(near)
 
 
-def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False) -> Column:
-    """Whether the terms stand in a row; with ``slop``, whether the spread of place minus offset is at most that. ``prefix``: the last need only begin a token."""
+def edits(c: Column, term: str, limit: int) -> Column:
+    """The edits between a string and the term, swaps of neighbours counting once, or limit + 1 where there are more."""
+
+    @F.pandas_udf("int")
+    def apart(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: osa(t, term, limit))
+
+    return apart(c)
+
+
+def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False, ends: list[str] | None = None) -> Column:
+    """Whether the terms stand in a row; with ``slop``, whether the spread of place minus offset is at most that. ``prefix``: the last need only begin a token, or is one of ``ends`` where these are given."""
     k = len(terms)
-    if k == 0:
+    if k == 0 or (prefix and ends == []):
         return F.lit(False)
+    begun = (lambda c: F.startswith(c, F.lit(terms[-1]))) if ends is None else (lambda c: c.isin(ends))
     if slop == 0:
 
         def here(x: Column, i: Column) -> Column:
-            ok = (F.startswith(x, F.lit(terms[0])) if prefix and k == 1 else x == terms[0])
+            ok = begun(x) if prefix and k == 1 else x == terms[0]
             for j in range(1, k):
                 other = F.get(tokens, i + j)
-                ok = ok & F.coalesce(F.startswith(other, F.lit(terms[j])) if prefix and j == k - 1 else other == terms[j], F.lit(False))
+                ok = ok & F.coalesce(begun(other) if prefix and j == k - 1 else other == terms[j], F.lit(False))
             return ok
 
         return F.coalesce(F.exists(F.transform(tokens, here), lambda b: b), F.lit(False))
@@ -69,7 +80,7 @@ def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False
         def fits(ts: list[str] | None) -> bool:
             if ts is None:
                 return False
-            at = [[i - n for i, t in enumerate(ts) if (t.startswith(w) if prefix and n == k - 1 else t == w)] for n, w in enumerate(terms)]
+            at = [[i - n for i, t in enumerate(ts) if ((t.startswith(w) if ends is None else t in ends) if prefix and n == k - 1 else t == w)] for n, w in enumerate(terms)]
             if not all(at):
                 return False
             ends = sorted((p, n) for n, ps in enumerate(at) for p in ps)

@@ -20,6 +20,7 @@ if TYPE_CHECKING:
     from corvane.plans.search import Engine
 
 MAX_BUCKETS = 65_535
+_TOO_MANY = f"Trying to create too many buckets. Must be less than or equal to: [{MAX_BUCKETS}]"
 METRICS = {"avg", "sum", "min", "max", "value_count", "cardinality", "stats", "extended_stats", "weighted_avg", "percentiles", "percentile_ranks", "median_absolute_deviation", "top_hits", "geo_bounds", "geo_centroid"}
 SIBLINGS = {"avg_bucket", "sum_bucket", "min_bucket", "max_bucket", "stats_bucket", "extended_stats_bucket", "percentiles_bucket"}
 PARENTS = {"cumulative_sum", "derivative", "serial_diff", "moving_avg", "bucket_sort", "bucket_script", "bucket_selector"}
@@ -30,6 +31,15 @@ TIERS = [*[(s * 1000, f"{s}s") for s in (1, 5, 10, 30)], *[(m * 60_000, f"{m}m")
 _CALENDAR = {"second": "second", "1s": "second", "minute": "minute", "1m": "minute", "hour": "hour", "1h": "hour", "day": "day", "1d": "day", "week": "week", "1w": "week", "month": "month", "1M": "month", "quarter": "quarter", "1q": "quarter", "year": "year", "1y": "year"}
 _STEP = {"second": "interval 1 second", "minute": "interval 1 minute", "hour": "interval 1 hour", "day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}
 
+#: Mean seconds of a calendar unit.
+_WIDTH = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2629746, "quarter": 7889238, "year": 31556952}
+
+
+def _seconds(how: dict) -> float:
+    """The mean width of the buckets of a date histogram."""
+    unit = how.get("calendar_interval") or (how.get("interval") if how.get("interval") in _CALENDAR else None)
+    return _WIDTH[_CALENDAR[unit]] if unit else datemath.parse_duration_ms(how.get("fixed_interval") or how["interval"]) / 1000
+
 
 def _kind(node: dict) -> tuple[str, dict, dict]:
     """Kind, parameters and sub-aggregations of a node."""
@@ -381,8 +391,12 @@ class Aggregator:
             level = Level(level.df.dropDuplicates([f.column]), level.keys, level.mapping, level.path)
         return self._significant(level, name, how, level.mapping.tokens(f), True)
 
-    def _fill(self, frame: DataFrame, level: Level, name: str, how: dict, steps: object, default: int = 0) -> DataFrame:
-        """Empty buckets between the first and last, or the extended bounds; the sequence is made from one row of bounds per parent."""
+    def _fill(self, frame: DataFrame, level: Level, name: str, how: dict, steps: object, width: float, default: int = 0) -> DataFrame:
+        """Empty buckets between the first and last, or the extended bounds; the sequence is made from one row of bounds per parent.
+
+        ``width`` is a bucket's, in the key's numbers or in seconds: bounds that would take more than MAX_BUCKETS fail before
+        any sequence is made.
+        """
         least = int(how.get("min_doc_count", default))
         if least > 0:
             return frame.where(F.col("doc_count") >= least)
@@ -392,7 +406,9 @@ class Aggregator:
             e = {k: (F.lit(datemath.resolve(v)) if kind.startswith("timestamp") else F.lit(v)).cast(kind) for k, v in how["extended_bounds"].items()}
             lo, hi = F.least(lo, e["min"]) if "min" in e else lo, F.greatest(hi, e["max"]) if "max" in e else hi
         spans = frame.groupBy(*level.keys).agg(lo.alias("_cv_lo"), hi.alias("_cv_hi")).where("_cv_lo is not null")
-        every = spans.select(*level.keys, F.explode(steps(F.col("_cv_lo"), F.col("_cv_hi"))).alias(name))
+        number = (lambda c: F.unix_micros(c.cast("timestamp")) / 1e6) if dict(frame.dtypes)[name].startswith("timestamp") else (lambda c: c.cast("double"))
+        many = (number(F.col("_cv_hi")) - number(F.col("_cv_lo"))) / width > MAX_BUCKETS
+        every = spans.select(*level.keys, F.explode(F.when(many, F.raise_error(F.lit(_TOO_MANY))).otherwise(steps(F.col("_cv_lo"), F.col("_cv_hi")))).alias(name))
         sums = [c for c in frame.columns if c not in level.keys and c not in (name, "doc_count")]
         out = every.join(frame, [*level.keys, name], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)).cast("long"))
         return out.select(*level.keys, name, "doc_count", *[F.col(f"`{c}`") for c in sums])
@@ -414,7 +430,7 @@ class Aggregator:
         rows = self._with_key(level, name, F.transform(c, key) if f.multi else key(c), f.multi)
         rows.df = self._bounded(rows.df, name, how)
         steps = lambda lo, hi: F.transform(F.sequence(F.round((lo - off) / step).cast("long"), F.round((hi - off) / step).cast("long")), lambda i: i * step + off)
-        return rows, lambda frame, _: self._fill(frame, level, name, how, steps)
+        return rows, lambda frame, _: self._fill(frame, level, name, how, steps, step)
 
     def _rounded(self, c: Column, how: dict) -> tuple[Column, object]:
         """A time's bucket as a naive UTC time, and the sequence of buckets between two."""
@@ -448,7 +464,7 @@ class Aggregator:
             key, steps = self._rounded(c, how)
         rows = self._with_key(level, name, key, f.multi)
         rows.df = self._bounded(rows.df, name, how)
-        return rows, lambda frame, _: self._fill(frame, level, name, how, steps)
+        return rows, lambda frame, _: self._fill(frame, level, name, how, steps, _seconds(how))
 
     def b_auto_date_histogram(self, level: Level, name: str, how: dict) -> tuple:
         """The finest tier that needs at most ``buckets`` buckets, from the first and last time: one row to the driver."""
@@ -476,7 +492,7 @@ class Aggregator:
             key = F.timestamp_add("MONTH", (months - 1970 * 12).cast("long"), epoch)
             steps = lambda a, b: F.sequence(a, b, F.expr(f"interval {size} months"))
         rows = self._with_key(level, name, key)
-        return rows, lambda frame, _: self._fill(frame, level, name, {}, steps).withColumn("interval", F.lit(label))
+        return rows, lambda frame, _: self._fill(frame, level, name, {}, steps, tier / 1000 if isinstance(tier, int) else size * _WIDTH["month"]).withColumn("interval", F.lit(label))
 
     def b_variable_width_histogram(self, level: Level, name: str, how: dict) -> tuple:
         """Cuts at the largest gaps between distinct values. Gaps are sought within bins that share the values out evenly, and between one bin's last and the next one's first; only the buckets' bounds reach the driver."""

@@ -197,13 +197,13 @@ def coerce(df: DataFrame, properties: dict) -> DataFrame:
     return df.withColumns({to: F.array_compact(F.array(*[F.col(f"`{s}`").cast("string") for s in names])) for to, names in copies.items()})
 
 
-def dynamic_properties(df: DataFrame, date_detection: bool = True, sample: int = 1000) -> dict:
-    """Types that a document store would infer: strings that all look like dates are dates, other strings text with a keyword, whole numbers long, others float."""
+def dynamic_properties(df: DataFrame, date_detection: bool = True) -> dict:
+    """Types that a document store would infer: strings that look like dates in every row are dates (one aggregate row to the driver), other strings text with a keyword, whole numbers long, others float."""
     strings = [n for n, t in df.dtypes if t == "string"]
     dated: set[str] = set()
     if date_detection and strings:
         looks = r"^\d{4}[-/]\d{2}[-/]\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-        got = df.select(strings).limit(sample).agg(*[F.min(F.coalesce(F.regexp_like(n, F.lit(looks)), F.lit(True))).alias(n) for n in strings], *[F.count(n).alias(f"n_{n}") for n in strings]).first()
+        got = df.select(strings).agg(*[F.min(F.coalesce(F.regexp_like(n, F.lit(looks)), F.lit(True))).alias(n) for n in strings], *[F.count(n).alias(f"n_{n}") for n in strings]).first()
         dated = {n for n in strings if got[n] and got[f"n_{n}"]}
     out: dict = {}
     for name, kind in df.dtypes:

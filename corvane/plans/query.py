@@ -262,13 +262,40 @@ class Compiler:
         f = self._field(name)
         if f is None:
             return self._const(F.lit(False))
-        return self._const(self._fuzzy(self.mapping.tokens(f), str(how["value"]), how))
+        if int(how.get("max_expansions", 50)) <= 0:
+            raise ValueError("maxExpansions must be positive.")
+        return self._const(self._fuzzy(f, str(how["value"]), how))
 
-    def _fuzzy(self, tokens: Column, term: str, how: dict) -> Column:
+    def _expanded(self, f: Field, what: tuple, of: Callable[[DataFrame], DataFrame]) -> list[str]:
+        """What ``of`` takes of the field's distinct terms (column t), asked once a request; it bounds how many reach the driver."""
+        key = (f.name, "terms", *what)
+        if key not in self._stats:
+            found = of(self.df.select(F.explode(self.mapping.tokens(f)).alias("t")).distinct())
+            self._stats[key] = [r["t"] for r in found.collect()]
+        return self._stats[key]
+
+    def _fuzzy(self, f: Field, term: str, how: dict) -> Column:
+        """Whether a document has one of the ``max_expansions`` terms of the field that are most like the term, by edits over the shorter length, ties by term."""
         edits, prefix = positions.fuzziness(how.get("fuzziness", "AUTO"), term), int(how.get("prefix_length", 0))
-        if how.get("transpositions", how.get("fuzzy_transpositions", True)) and edits:
-            return positions.fuzzy_any(tokens, term, edits, prefix)
-        return F.exists(tokens, lambda x: (F.levenshtein(x, F.lit(term)) <= edits) & (F.substring(x, 1, prefix) == term[:prefix]))
+        swaps, most = bool(how.get("transpositions", how.get("fuzzy_transpositions", True))), int(how.get("max_expansions", 50))
+        tokens = self.mapping.tokens(f)
+        if not edits or prefix >= len(term):
+            return F.array_contains(tokens, term)
+        if self.df.isStreaming:  # which has no terms to count: all of those near enough
+            return positions.fuzzy_any(tokens, term, edits, prefix) if swaps else F.exists(tokens, lambda x: (F.levenshtein(x, F.lit(term)) <= edits) & (F.substring(x, 1, prefix) == term[:prefix]))
+
+        def nearest(words: DataFrame) -> DataFrame:
+            near = words.where((F.abs(F.length("t") - len(term)) <= edits) & (F.substring("t", 1, prefix) == term[:prefix]) & (F.levenshtein("t", F.lit(term)) <= edits * (2 if swaps else 1)))
+            near = near.withColumn("d", positions.edits(F.substring("t", prefix + 1, 2**31 - 1), term[prefix:], edits) if swaps else F.levenshtein("t", F.lit(term))).where(F.col("d") <= edits)
+            return near.orderBy(F.desc(1 - F.col("d") / F.least(F.length("t"), F.lit(len(term)))), "t").select("t").limit(most)
+
+        found = self._expanded(f, ("fuzzy", term, edits, prefix, swaps, most), nearest)
+        return F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in found])) if found else F.lit(False)
+
+    def _begun(self, f: Field, start: str, how: dict) -> list[str]:
+        """The first ``max_expansions`` terms of the field, in order, that begin so."""
+        most = max(1, int(how.get("max_expansions", 50)))
+        return self._expanded(f, ("prefix", start, most), lambda words: words.where(F.startswith("t", F.lit(start))).orderBy("t").limit(most))
 
     def q_ids(self, body: dict) -> Match:
         return self._const(id_in(self.df, self.id_col, body["values"]))
@@ -332,7 +359,7 @@ class Compiler:
         if not terms:
             return self._const(F.lit(how.get("zero_terms_query", "none") == "all"))
         tokens = self.mapping.tokens(f)
-        hits = [self._fuzzy(tokens, t, how) if "fuzziness" in how else F.array_contains(tokens, t) for t in terms]
+        hits = [self._fuzzy(f, t, how) if "fuzziness" in how else F.array_contains(tokens, t) for t in terms]
         need = len(terms) if str(how.get("operator", "or")).lower() == "and" else patterns.minimum_should_match(how.get("minimum_should_match", 1), len(terms))
         hit = _all(hits) if need >= len(terms) else _any(hits) if need <= 1 else _sum([_sure(h).cast("int") for h in hits]) >= need
         return Match(_sure(hit), self._bm25(f, terms) if self.scoring else F.lit(1.0))
@@ -350,7 +377,7 @@ class Compiler:
         terms = self._terms_of(f, text, how.get("analyzer"))
         if not terms:
             return self._const(F.lit(how.get("zero_terms_query", "none") == "all"))
-        hit = positions.phrase(self.mapping.tokens(f), terms, int(how.get("slop", 0)), prefix)
+        hit = positions.phrase(self.mapping.tokens(f), terms, int(how.get("slop", 0)), prefix, self._begun(f, terms[-1], how) if prefix and not self.df.isStreaming else None)
         return Match(_sure(hit), self._bm25(f, terms[:-1] if prefix else terms) if self.scoring else F.lit(1.0))
 
     def q_match_phrase(self, body: dict) -> Match:

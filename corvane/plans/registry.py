@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -136,7 +135,7 @@ _rows("t_match_or", "documents", {"match": {"text": "idiot clown"}}, "doc_id", f
 _rows("t_match_and", "documents", {"match": {"text": {"query": "The And WITH", "operator": "and"}}}, "doc_id", f"documents WHERE list_has_all({_T}, ['the', 'and', 'with'])")
 _rows("t_match_msm", "documents", {"match": {"text": {"query": "the les der los", "minimum_should_match": "50%"}}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents) WHERE (CAST(list_contains(t, 'the') AS INT) + CAST(list_contains(t, 'les') AS INT) + CAST(list_contains(t, 'der') AS INT) + CAST(list_contains(t, 'los') AS INT)) >= 2")
 _rows("t_match_phrase", "documents", {"match_phrase": {"text": "of the"}}, "doc_id", f"documents WHERE contains(' ' || array_to_string({_T}, ' ') || ' ', ' of the ')")
-_rows("t_match_phrase_prefix", "documents", {"match_phrase_prefix": {"text": "of th"}}, "doc_id", f"documents WHERE contains(' ' || array_to_string({_T}, ' '), ' of th')")
+_rows("t_match_phrase_prefix", "documents", {"match_phrase_prefix": {"text": "of th"}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents), (SELECT list(w) AS ends FROM (SELECT DISTINCT w FROM (SELECT unnest({_T}) AS w FROM documents) WHERE starts_with(w, 'th') ORDER BY w LIMIT 50)) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND list_contains(ends, t[i + 1]))) > 0")
 _rows("t_match_bool_prefix", "documents", {"match_bool_prefix": {"text": {"query": "the wors", "operator": "and"}}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents) WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'wors'))) > 0")
 _rows("t_multi_match", "part", {"multi_match": {"query": "MAROON", "fields": ["p_name", "p_type"], "operator": "or"}}, "p_partkey", "part WHERE list_contains(regexp_extract_all(lower(p_name), '\\w+'), 'maroon') OR p_type = 'MAROON'")
 _rows("t_combined_fields", "documents", {"combined_fields": {"query": "the worthless", "fields": ["text"], "operator": "and"}}, "doc_id", f"documents WHERE list_has_all({_T}, ['the', 'worthless'])")
@@ -289,7 +288,7 @@ _agg("b_diversified_sampler", "part", {"s": {"diversified_sampler": {"field": "p
 _agg("p_siblings", "events", {**_daily({}), "s": {"stats_bucket": {"buckets_path": "d>v"}}}, "s", f"{_DAYS} SELECT count(v) AS s_count, round(min(v), 4) AS s_min, round(max(v), 4) AS s_max, round(avg(v), 4) AS s_avg, round(sum(v), 4) AS s_sum FROM x", _BUY)
 _agg("p_extended_stats_bucket", "events", {**_daily({}), "s": {"extended_stats_bucket": {"buckets_path": "d>v"}}}, "s", f"{_DAYS} SELECT count(v) AS s_count, round(var_pop(v), 2) AS s_variance, round(stddev_pop(v), 4) AS s_std_deviation FROM x", _BUY, "`s.count`; round(`s.variance`, 2) AS s_variance; `s.std_deviation`")
 _agg("p_avg_bucket_insert_zeros", "events", {**_daily({}), "s": {"avg_bucket": {"buckets_path": "d>v", "gap_policy": "insert_zeros"}}}, "s", f"{_DAYS} SELECT round(avg(coalesce(v, 0)), 4) AS s FROM x", _BUY)
-_agg("p_sum_bucket", "events", {**_daily({}), "s": {"sum_bucket": {"buckets_path": "d._count"}}}, "s", None, _BUY)
+_agg("p_sum_bucket", "events", {**_daily({}), "s": {"sum_bucket": {"buckets_path": "d._count"}}}, "s", f"{_DAYS} SELECT CAST(sum(n) AS DOUBLE) AS s FROM x", _BUY)
 _agg("p_max_bucket", "events", {**_daily({}), "s": {"max_bucket": {"buckets_path": "d>v"}}}, "s", f"{_DAYS} SELECT round(max(v), 4) AS s FROM x", _BUY, "s")
 _agg("p_percentiles_bucket", "events", {**_daily({}), "s": {"percentiles_bucket": {"buckets_path": "d>v", "percents": [50, 90]}}}, "s", f"{_DAYS}, l AS (SELECT list_sort(list(v)) AS l, count(v) AS n FROM x WHERE v IS NOT NULL) SELECT round(l[CAST(round(0.5 * (n - 1)) AS INT) + 1], 4) AS s_50, round(l[CAST(round(0.9 * (n - 1)) AS INT) + 1], 4) AS s_90 FROM l", _BUY)
 _agg("p_cumulative_sum", "events", _daily({"c": {"cumulative_sum": {"buckets_path": "v"}}}), "d", f"{_DAYS} SELECT d, n AS doc_count, round(v, 4) AS v, round(sum(coalesce(v, 0)) OVER (ORDER BY d), 4) AS c FROM x", _BUY)
@@ -303,7 +302,12 @@ _agg("p_bucket_sort", "events", _daily({"c": {"bucket_sort": {"sort": [{"v": "de
 
 # -- suggesters
 
-_add("u_term_suggest", lambda e: suggest.term_suggest(e.index("documents"), "idiat", {"field": "text", "prefix_length": 2}).where("suggestion = 'idiot'").select("suggestion", "score", "freq"), f"SELECT 'idiot' AS suggestion, CAST(0.8 AS DOUBLE) AS score, count(*) AS freq FROM documents WHERE list_contains({_T}, 'idiot')")
+_add(
+    "u_term_suggest", lambda e: suggest.term_suggest(e.index("documents"), "idiat", {"field": "text", "prefix_length": 2, "accuracy": 0.4, "size": 4}).select("suggestion", "score", "freq"),
+    f"""WITH w AS (SELECT doc_id, unnest(list_distinct({_T})) AS w FROM documents), d AS (SELECT w, count(*) AS freq FROM w GROUP BY w),
+    near AS (SELECT w, freq, damerau_levenshtein(w, 'idiat') AS e FROM d WHERE starts_with(w, 'id') AND length(w) >= 4)
+    SELECT w AS suggestion, round(1 - e / CAST(least(length(w), 5) AS DOUBLE), 4) AS score, freq FROM near WHERE e <= 2 AND 1 - e / CAST(least(length(w), 5) AS DOUBLE) >= 0.4 ORDER BY score DESC, freq DESC, w LIMIT 4""",
+)
 _add("u_completion", lambda e: suggest.completion_suggest(e.index("nation").df.withColumn("_id", F.col("n_nationkey")), "in", {"field": "n_name", "size": 10}).select("text"), "SELECT n_name AS text FROM nation WHERE starts_with(lower(n_name), 'in')")
 
 
@@ -379,6 +383,63 @@ _agg("p_derivative_unit", "events", _daily({"c": {"derivative": {"buckets_path":
 _agg("p_min_bucket", "events", {**_daily({}), "s": {"min_bucket": {"buckets_path": "d>v"}}}, "s", f"{_DAYS} SELECT round(min(v), 4) AS s FROM x", _BUY, "s")
 _agg("p_stats_nested_path", "lineitem", {"f": {"terms": {"field": "l_returnflag"}, "aggs": {"n": {"terms": {"field": "l_linenumber"}, "aggs": {"q": {"sum": {"field": "l_quantity"}}}}, "s": {"avg_bucket": {"buckets_path": "n>q"}}}}}, "f>s", "WITH n AS (SELECT l_returnflag AS f, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT f, round(avg(q), 4) AS s FROM n GROUP BY 1")
 
+# -- whole requests and writes
+
+
+def _numbers(e: Engine, *values: int) -> DataFrame:
+    return e.spark.createDataFrame(list(enumerate(values)), "i int, n long")
+
+
+def _bulk(e: Engine) -> DataFrame:
+    """A bulk file of all nations, written and read by the executors: each is indexed, then those of one region updated and those of another deleted."""
+    rows = e.index("nation").df
+    act = lambda op: F.concat(F.lit(f'{{"{op}": {{"_id": "'), F.col("n_nationkey").cast("string"), F.lit('"}}'))
+    source = F.to_json(F.struct("n_name", "n_regionkey"))
+    changed = F.when(F.col("n_regionkey") == 1, F.array(act("update"), F.to_json(F.struct(F.struct(F.lower("n_name").alias("n_name")).alias("doc"))))).when(F.col("n_regionkey") == 2, F.array(act("delete"))).otherwise(F.array().cast("array<string>"))
+    lines = rows.select("n_nationkey", F.explode(F.concat(F.array(act("index"), source), changed)).alias("line")).select("line")
+    path = f"{sources.shared_folder(e.spark)}/corvane-bulk-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    index, _ = sources.apply_bulk(e, sources.read_bulk(e.spark, path), "loaded", "n_name string, n_regionkey long")
+    return index.df.select(F.col("_id").cast("long").alias("k"), "n_name", "n_regionkey", "_version")
+
+
+_add("d_bulk", _bulk, "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END AS BIGINT) AS _version FROM nation WHERE n_regionkey <> 2")
+
+
+def _updated(e: Engine) -> DataFrame:
+    sources.reindex(e, "region", "copy")
+    sources.update(e, "copy", 1, {"r_name": "changed"})
+    sources.update(e, "copy", 77, {"r_name": "new"}, upsert_doc={"r_regionkey": 77, "r_name": "new"})
+    sources.update(e, "copy", 2, {"r_name": "as is"}, doc_as_upsert=True)
+    return e.index("copy").df.select("r_regionkey", "r_name")
+
+
+_add("d_update_upsert", _updated, "SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'changed' WHEN 2 THEN 'as is' ELSE r_name END AS r_name FROM region UNION ALL SELECT 77, 'new'")
+_add("d_get", lambda e: sources.get(e, "nation", 7).select("n_nationkey", "n_name").unionByName(sources.get(e, "nation", 777).select("n_nationkey", "n_name")), "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+_add("h_count", lambda e: _numbers(e, e.count("nation,region"), e.count("orders", {"term": {"o_orderstatus": "F"}}), e.count("urgent")), "SELECT CAST(0 AS INT) AS i, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 1, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 2, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT')")
+_add("h_msearch", lambda e: e.msearch([("nation", {"query": {"term": {"n_regionkey": 1}}, "sort": ["n_name"], "size": 3}), ("nation", {"sort": [{"n_name": "desc"}], "size": 2})])[0].hits.select("n_nationkey").unionByName(e.msearch([("nation", {"sort": [{"n_name": "desc"}], "size": 2})])[0].hits.select("n_nationkey")), "(SELECT n_nationkey FROM nation WHERE n_regionkey = 1 ORDER BY n_name LIMIT 3) UNION ALL (SELECT n_nationkey FROM nation ORDER BY n_name DESC LIMIT 2)")
+_add("h_scroll", lambda e: e.spark.createDataFrame([(int(r["n_nationkey"]),) for page in _pages(e) for r in page], "n_nationkey long"), "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation WHERE n_regionkey <> 3")
+
+
+def _pages(e: Engine) -> list:
+    """All pages of a scroll over nations."""
+    scroll, pages = e.scrolls[e.scroll("nation", {"query": {"bool": {"must_not": [{"term": {"n_regionkey": 3}}]}}, "size": 6})], []
+    while page := scroll.next():
+        pages.append(page)
+    return pages
+
+
+_add("h_terminate_after", lambda e: _numbers(e, e.search("orders", {"terminate_after": 40, "size": 0}).total()), "SELECT CAST(0 AS INT) AS i, least(40, count(*)) AS n FROM orders")
+_add("h_track_total_hits", lambda e: _numbers(e, e.search("orders", {"track_total_hits": True, "size": 0}).total()), "SELECT CAST(0 AS INT) AS i, count(*) AS n FROM orders")
+_hits("h_sort_ties", "orders", {"sort": [{"o_orderstatus": "asc"}], "size": 60}, "o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_orderstatus, o_orderkey LIMIT 60")
+_hits("h_sort_id_desc", "orders", {"sort": [{"o_orderkey": "desc"}], "from": 5, "size": 15}, "o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 15 OFFSET 5")
+_rows("q_must_not_lookup", "customer", {"bool": {"must_not": [{"terms": {"c_nationkey": {"index": "nation", "query": {"term": {"n_regionkey": 1}}, "path": "n_nationkey"}}}]}}, "c_custkey", "customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+_rows("q_fuzzy_max_expansions", "nation", {"fuzzy": {"n_name": {"value": "IRAM", "fuzziness": 2, "max_expansions": 1}}}, "n_nationkey", "nation WHERE n_name = (SELECT n_name FROM nation WHERE damerau_levenshtein(n_name, 'IRAM') <= 2 ORDER BY 1 - damerau_levenshtein(n_name, 'IRAM') / CAST(least(length(n_name), 4) AS DOUBLE) DESC, n_name LIMIT 1)")
+_rows("t_phrase_prefix_max_expansions", "documents", {"match_phrase_prefix": {"text": {"query": "of th", "max_expansions": 3}}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents), (SELECT list(w) AS ends FROM (SELECT DISTINCT w FROM (SELECT unnest({_T}) AS w FROM documents) WHERE starts_with(w, 'th') ORDER BY w LIMIT 3)) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND list_contains(ends, t[i + 1]))) > 0")
+_add("b_terms_partitions", lambda e: e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 0, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count").unionByName(e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 1, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count")), "SELECT o_custkey AS c, count(*) AS doc_count FROM orders GROUP BY 1")
+_agg("p_moving_avg_ewma", "events", _daily({"c": {"moving_avg": {"buckets_path": "_count", "window": 2, "model": "ewma", "settings": {"alpha": 0.5}}}}), "d", f"{_DAYS} SELECT d, n AS doc_count, round(v, 4) AS v, round(coalesce(0.5 * lag(n) OVER w + 0.5 * lag(n, 2) OVER w, lag(n) OVER w), 4) AS c FROM x WINDOW w AS (ORDER BY d)", _BUY)
+_add("a_normalizer", lambda e: _analyzed(e, analyze(F.col("c_mktsegment"), {"tokenizer": "keyword", "filter": ["lowercase", "trim"]}), "customer", "c_custkey"), "SELECT c_custkey, lower(c_mktsegment) AS tokens FROM customer")
+
 # -- streams
 
 
@@ -387,10 +448,9 @@ def _streamed(spark: SparkSession, sf: str) -> DataFrame:
     schema = _frame(spark, sf, "events").schema.simpleString()
     stream = windows.open_stream(spark, f"{sf}/events.parquet*", schema.removeprefix("struct<").removesuffix(">").replace(":", " "))
     hours = windows.windowed(windows.matching(stream, _BUY), "ts", "1 day", {"v": F.sum("value")})
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    name = f"corvane_stream_{uuid.uuid4().hex}"
-    windows.run_once(hours, name, f"{folder.rstrip('/')}/{name}", "complete")
-    return _rounded(spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("d"), "doc_count", "v"))
+    path = f"{sources.shared_folder(spark)}/corvane-stream-{uuid.uuid4().hex}"
+    out = windows.run_once(hours, f"{path}/out", f"{path}/state", "complete")
+    return _rounded(out.select(F.col("window_start").cast("timestamp_ntz").alias("d"), "doc_count", "v"))
 
 
 QUERIES["x_stream_windows"] = _streamed

@@ -36,7 +36,7 @@ def read_bulk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_col: str = "_id") -> tuple[Index, DataFrame]:
-    """The index after its actions, the last action of an id winning, and a result for each action. Rows carry ``_version``, which each write of an id raises, and ``_seq_no``, which goes up in the order of actions."""
+    """The index after its actions, taken in order for each id, and a result for each action. Rows carry ``_version``, which each write of an id raises, and ``_seq_no``, which goes up in the order of actions."""
     own = actions.where(F.coalesce(F.col("_index"), F.lit(name)) == name).withColumn(id_col, F.coalesce("_id", F.md5(F.concat_ws(":", "file", "block", "n"))))
     w = Window.partitionBy(id_col).orderBy("file", "block", "n")
     there_before = engine.indices[name].df if name in engine.indices else own.limit(0)
@@ -51,9 +51,17 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
     told = told.withColumn("_version", raised.cast("long"))
     results = told.select("op", F.col(id_col).alias("_id"), status.alias("status"), result.alias("result"), "_version", (F.col("n") + first).alias("_seq_no"), "n")
     good = told.withColumn("status", status).where("status < 400")
-    last = good.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("file"), F.desc("block"), F.desc("n")))).where("r = 1")
+    # The actions of an id from its last one that is no update: updates merge into it in order, or into the row that was there.
+    starts = F.sum((F.col("op") != "update").cast("int")).over(w)
+    good = good.withColumn("part", starts).withColumn("parts", F.max("part").over(Window.partitionBy(id_col))).where("part = parts")
     source = F.when(F.col("op") == "update", F.coalesce(F.get_json_object("source", "$.doc"), F.col("source"))).otherwise(F.col("source"))
-    new = last.where("op <> 'delete'").select(F.col(id_col), F.col("op"), "_version", (F.col("n") + first).alias("_seq_no"), F.from_json(source, schema).alias("s")).select(id_col, "op", "_version", "_seq_no", "s.*")
+    place = F.struct("file", "block", "n")
+    parsed = good.withColumn("s", F.from_json(source, schema))
+    named = [f.name for f in parsed.schema["s"].dataType.fields]
+    kind = F.when(F.max(F.col("op") == "delete"), "delete").when(F.max("parts") == 0, "update").otherwise("index")
+    merged = [F.max_by(F.col("s")[c], F.when(F.col("s")[c].isNotNull(), place)).alias(c) for c in named]
+    last = parsed.groupBy(id_col).agg(kind.alias("op"), F.max("_version").alias("_version"), (F.max_by("n", place) + first).alias("_seq_no"), *merged)
+    new = last.where("op <> 'delete'")
     fields = [c for c in new.columns if c not in (id_col, "op")]
     if name in engine.indices:
         old = engine.indices[name]
@@ -67,14 +75,21 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
     return engine.create(name, df, props, engine.indices[name].mapping.settings if name in engine.indices else None, id_col), results
 
 
-def compact(engine: Engine, name: str) -> Index:
-    """Write an index once to the shared folder and read it from there, so that a chain of writes does not grow its plan."""
-    ix, spark = engine.index(name), engine.spark
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset and the driver is the only machine, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/corvane-index-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def compact(engine: Engine, name: str) -> Index:
+    """Write an index once to the shared folder and read it from there, so that a chain of writes does not grow its plan."""
+    ix, spark = engine.index(name), engine.spark
+    path = f"{shared_folder(spark)}/corvane-index-{uuid.uuid4().hex}"
     ix.df.write.parquet(path)
     return engine.create(name, spark.read.schema(ix.df.schema).parquet(path), ix.mapping.declared, ix.mapping.settings, ix.id_col)
 
@@ -123,7 +138,7 @@ def update(engine: Engine, name: str, doc_id: object, partial: dict, upsert_doc:
         if doc is None:
             raise KeyError(f"document [{doc_id}] missing")
         kinds = dict(ix.df.dtypes)
-        row = engine.spark.range(1).select(F.lit(doc_id).cast(kinds[ix.id_col]).alias(ix.id_col), *[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in doc.items()])
+        row = engine.spark.range(1).select(F.lit(doc_id).cast(kinds[ix.id_col]).alias(ix.id_col), *[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in doc.items() if k != ix.id_col])
         return upsert(engine, name, row)
     kinds = dict(ix.df.dtypes)
     df = ix.df.withColumns({k: F.when(here, F.lit(v).cast(kinds.get(k, "string"))).otherwise(F.col(k) if k in kinds else F.lit(None)) for k, v in partial.items()})

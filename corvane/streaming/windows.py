@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from corvane.plans.mapping import Mapping
 from corvane.plans.query import Compiler
@@ -29,8 +28,9 @@ def windowed(stream: DataFrame, time_col: str, size: str, metrics: dict[str, Col
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "doc_count", *metrics)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """All that is there, into a memory table: for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there, written by the executors to a Parquet folder that all share: batches after each other, or in mode complete the last one."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)  # where there is nothing to write
+    write = lambda batch, _: batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -111,8 +111,7 @@ def test_stream_of_windows(spark, tmp_path):
     rows.write.parquet(f"file://{tmp_path}/s")
     stream = windows.open_stream(spark, f"file://{tmp_path}/s", "id int, at timestamp, kind string, v double")
     out = windows.windowed(windows.matching(stream, {"term": {"kind": "a"}}), "at", "6 hours", {"s": F.sum("v")})
-    windows.run_once(out, "windows_test", f"file://{tmp_path}/c", "complete")
-    got = spark.table("windows_test").orderBy("window_start").collect()
+    got = windows.run_once(out, f"file://{tmp_path}/out", f"file://{tmp_path}/c", "complete").orderBy("window_start").collect()
     assert [r["doc_count"] for r in got] == [6, 6, 6, 6] and sum(r["s"] for r in got) == sum(i for i in range(48) if i % 2)
 
 
