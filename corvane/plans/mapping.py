@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import fnmatch
 import re
 from dataclasses import dataclass, field
@@ -63,13 +64,14 @@ class Mapping:
         self.settings = settings or {}
         self.fields: dict[str, Field] = {}
         self.declared = dict(properties or {})
+        self.stored: dict[str, str] = {}  # columns that hold the tokens of a field
         self._infer("", df.schema)
         for name, how in (properties or {}).items():
             self._declare(name, dict(how))
 
     def _infer(self, prefix: str, schema: T.StructType) -> None:
         for f in schema.fields:
-            if f.name in ("_version", "_seq_no"):
+            if f.name in ("_version", "_seq_no") or f.name.startswith("_cv_"):
                 continue
             kind, multi = _of_spark(f.name, f.dataType)
             name = prefix + f.name
@@ -139,6 +141,8 @@ class Mapping:
 
     def tokens(self, f: Field) -> Column:
         """The tokens of a text field; a keyword's value is its only one."""
+        if f.name in self.stored:
+            return F.col(f"`{self.stored[f.name]}`")
         c = self.column(f)
         if f.type not in TEXT:
             return F.array_compact(c if f.multi else F.array(c))
@@ -146,6 +150,12 @@ class Mapping:
             return F.flatten(F.transform(c, lambda x: analyze(x, f.analyzer, self.settings)))
         return analyze(c, f.analyzer, self.settings)
 
+    def storing(self, columns: dict[str, str]) -> Mapping:
+        """The same fields, with columns that hold tokens by field."""
+        out = copy.copy(self)
+        out.stored = columns
+        return out
+
     def analyzed(self, f: Field, text: str, analyzer: str | dict | None = None) -> Column:
         """The tokens of a query's text."""
         if f.type not in TEXT:

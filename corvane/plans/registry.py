@@ -56,6 +56,8 @@ def _opened(spark: SparkSession, sf: str) -> Engine:
     e.create("titles", _frame(spark, sf, "part"), {"p_name": {"type": "search_as_you_type"}}, id_col="p_partkey")
     places = _frame(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("_id"), F.col("r_name").alias("name"), F.struct(F.lit("region").alias("name"), F.lit(None).cast("string").alias("parent")).alias("kind"))
     places = places.unionByName(_frame(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("_id"), F.col("n_name").alias("name"), F.struct(F.lit("nation").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).alias("kind")))
+    for name in ("documents", "benchmark"):
+        sources.store_tokens(e, name)
     e.create("places", places, {"kind": {"type": "join", "relations": {"region": ["nation"]}}})
     e.relations["line"] = Relation("line", "orders", "lineitem", "l_orderkey")
     e.aliases["urgent"] = {"orders": {"term": {"o_orderpriority": "1-URGENT"}}}

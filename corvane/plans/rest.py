@@ -148,7 +148,7 @@ class Client:
             docs = [json.loads(a[3]) for _, a in own if a[3]]
             docs = [d.get("doc", d) if a[0] == "update" else d for d, a in zip(docs, [a for _, a in own if a[3]], strict=True)]
             ix = self.engine.indices.get(name)
-            known = {f.name: f.dataType.simpleString() for f in ix.df.schema.fields if f.name not in META} if ix else {}
+            known = {f.name: f.dataType.simpleString() for f in ix.df.schema.fields if f.name not in META and not f.name.startswith("_cv_")} if ix else {}
             schema = ", ".join(f"`{n}` {t}" for n, t in (self._infer(docs, known) if docs else known).items())
             df = self.spark.createDataFrame([(op, name, ids[i], src, i) for i, (op, _, _, src) in own], "op string, _index string, _id string, source string, n long")
             _, told = sources.apply_bulk(self.engine, df.withColumn("file", F.lit("")).withColumn("block", F.lit(0).cast("long")), name, schema or "`_none` string")
@@ -220,7 +220,7 @@ class Client:
         asked = [(d.get("_index", index), d["_id"]) for d in body.get("docs", [])] + [(index, i) for i in body.get("ids", [])]
         out = []
         for r in sources.mget(self.engine, asked).collect():
-            own = {f.name for f in self.engine.index(r["_index"]).df.schema.fields} - META
+            own = {f.name for f in self.engine.index(r["_index"]).df.schema.fields if not f.name.startswith("_cv_")} - META
             doc = {"_index": r["_index"], "_id": r["_id"], "found": r["found"]}
             out.append(doc | ({"_source": {k: render.value(v) for k, v in r.asDict().items() if k in own and v is not None}} if r["found"] else {}))
         return 200, {"docs": out}

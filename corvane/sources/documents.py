@@ -6,11 +6,12 @@ import json
 import os
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.mapping import coerce, dynamic_properties, id_in
+from corvane.plans.mapping import TEXT, coerce, dynamic_properties, id_in
 from corvane.plans.query import Compiler
 from corvane.plans.search import META, Engine, Index
 
@@ -39,7 +40,7 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
     """The index after its actions, taken in order for each id, and a result for each action. Rows carry ``_version``, which each write of an id raises, and ``_seq_no``, which goes up in the order of actions."""
     own = actions.where(F.coalesce(F.col("_index"), F.lit(name)) == name).withColumn(id_col, F.coalesce("_id", F.md5(F.concat_ws(":", "file", "block", "n"))))
     w = Window.partitionBy(id_col).orderBy("file", "block", "n")
-    there_before = engine.indices[name].df if name in engine.indices else own.limit(0)
+    there_before = _plain(engine.indices[name]).df if name in engine.indices else own.limit(0)
     version = F.col("_version") if "_version" in there_before.columns else F.lit(1).cast("long")
     existed = there_before.select(id_col, version.alias("_cv_base"), F.lit(True).alias("_cv_old"))
     first = ((there_before.agg(F.max("_seq_no")).first()[0] if "_seq_no" in there_before.columns else None) or -1) + 1
@@ -64,7 +65,7 @@ def apply_bulk(engine: Engine, actions: DataFrame, name: str, schema: str, id_co
     new = last.where("op <> 'delete'")
     fields = [c for c in new.columns if c not in (id_col, "op")]
     if name in engine.indices:
-        old = engine.indices[name]
+        old = _plain(engine.indices[name])
         untouched = old.df.join(last.select(id_col), id_col, "left_anti")
         merged = new.alias("n").join(old.df.alias("o"), id_col, "left")
         both = merged.select(id_col, *[(F.when(F.col("op") == "update", F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).otherwise(F.col(f"n.{c}")) if c in old.df.columns else F.col(f"n.{c}")).alias(c) for c in fields])
@@ -88,12 +89,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def compact(engine: Engine, name: str) -> Index:
     """Write an index once to the shared folder and read it from there, so that a chain of writes does not grow its plan."""
-    ix, spark = engine.index(name), engine.spark
+    ix, spark = _plain(engine.index(name)), engine.spark
     path = f"{shared_folder(spark)}/corvane-index-{uuid.uuid4().hex}"
     ix.df.write.parquet(path)
     return engine.create(name, spark.read.schema(ix.df.schema).parquet(path), ix.mapping.declared, ix.mapping.settings, ix.id_col)
 
 
+def store_tokens(engine: Engine, name: str) -> Index:
+    """Analyse an index's text fields once: written to the shared folder beside its columns, tokens are read by text queries, which else make them again for each request.
+
+    Fields within nested objects are left as they are. A write to the index gives one without stored tokens.
+    """
+    ix, spark = _plain(engine.index(name)), engine.spark
+    fields = [f for f in ix.mapping.fields.values() if f.type in TEXT and not f.multi and f.column in ix.df.columns]
+    columns = {f.name: f"_cv_tokens_{i}" for i, f in enumerate(fields)}
+    path = f"{shared_folder(spark)}/corvane-tokens-{uuid.uuid4().hex}"
+    df = ix.df.withColumns({columns[f.name]: ix.mapping.tokens(f) for f in fields})
+    df.write.parquet(path)
+    engine.indices[name] = Index(name, spark.read.schema(df.schema).parquet(path), ix.mapping.storing(columns), engine, ix.id_col)
+    return engine.indices[name]
+
+
+def _plain(ix: Index) -> Index:
+    """The index without stored tokens, as a write needs it."""
+    return replace(ix, df=ix.df.drop(*ix.mapping.stored.values()), mapping=ix.mapping.storing({})) if ix.mapping.stored else ix
+
+
 def index_documents(engine: Engine, name: str, docs: DataFrame, properties: dict | None = None, id_col: str = "_id") -> Index:
     """Coerce rows to a mapping and make an index of them; a later row of an id takes the place of an earlier one."""
     if id_col not in docs.columns:
@@ -103,7 +124,7 @@ def index_documents(engine: Engine, name: str, docs: DataFrame, properties: dict
 
 def upsert(engine: Engine, name: str, rows: DataFrame) -> Index:
     """Rows replace those of the same id and join the rest."""
-    old = engine.index(name)
+    old = _plain(engine.index(name))
     df = old.df.join(rows.select(old.id_col), old.id_col, "left_anti").unionByName(rows, allowMissingColumns=True)
     engine.indices[name] = Index(name, df, old.mapping, engine, old.id_col)
     return engine.indices[name]
@@ -111,7 +132,7 @@ def upsert(engine: Engine, name: str, rows: DataFrame) -> Index:
 
 def delete_by_query(engine: Engine, name: str, query: dict, max_docs: int | None = None) -> int:
     """Remove matching rows; the number removed."""
-    ix = engine.index(name)
+    ix = _plain(engine.index(name))
     gone = ix.filtered(query).select(ix.id_col)
     gone = gone.orderBy(ix.id_col).limit(max_docs) if max_docs is not None else gone
     n = gone.count()
@@ -121,7 +142,7 @@ def delete_by_query(engine: Engine, name: str, query: dict, max_docs: int | None
 
 def update_by_query(engine: Engine, name: str, query: dict, changes: dict[str, Column]) -> Index:
     """Set columns where a query matches."""
-    ix = engine.index(name)
+    ix = _plain(engine.index(name))
     c = Compiler(ix.df, ix.mapping, engine, False, ix.id_col)
     m = c.compile(query)
     df = c.df.withColumns({n: F.when(m.hit, v).otherwise(F.col(n)) for n, v in changes.items()}).select(*ix.df.columns)
@@ -131,7 +152,7 @@ def update_by_query(engine: Engine, name: str, query: dict, changes: dict[str, C
 
 def update(engine: Engine, name: str, doc_id: object, partial: dict, upsert_doc: dict | None = None, doc_as_upsert: bool = False) -> Index:
     """Merge a partial document into one row, or add it."""
-    ix = engine.index(name)
+    ix = _plain(engine.index(name))
     here = id_in(ix.df, ix.id_col, [doc_id])
     if ix.df.where(here).isEmpty():
         doc = partial if doc_as_upsert else upsert_doc
@@ -147,7 +168,7 @@ def update(engine: Engine, name: str, doc_id: object, partial: dict, upsert_doc:
 
 
 def get(engine: Engine, name: str, doc_id: object) -> DataFrame:
-    ix = engine.index(name)
+    ix = _plain(engine.index(name))
     return ix.df.where(id_in(ix.df, ix.id_col, [doc_id]))
 
 
@@ -164,7 +185,7 @@ def mget(engine: Engine, wanted: list[tuple[str, object]]) -> DataFrame:
 
 def reindex(engine: Engine, source: str, dest: str, query: dict | None = None, columns: list[str] | None = None, max_docs: int | None = None, op_type: str = "index") -> Index:
     """Copy matching rows into an index, replacing those of the same id unless ``op_type`` is create."""
-    ix = engine.index(source)
+    ix = _plain(engine.index(source))
     rows = ix.filtered(query).select(*([ix.id_col, *[c for c in columns if c != ix.id_col]] if columns else ix.df.columns))
     rows = rows.orderBy(ix.id_col).limit(max_docs) if max_docs is not None else rows
     if dest not in engine.indices:
@@ -213,7 +234,7 @@ def remove_alias(engine: Engine, alias: str, index: str) -> None:
 
 
 def export(engine: Engine, name: str, path: str) -> None:
-    engine.index(name).df.write.parquet(path)
+    _plain(engine.index(name)).df.write.parquet(path)
 
 
 def open_parquet(engine: Engine, name: str, path: str, properties: dict | None = None, id_col: str = "_id") -> Index:

@@ -70,3 +70,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sources.shared_folder(Session())
     assert sources.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_tokens_are_stored_once(spark, capsys):
+    e = Engine(spark)
+    rows = [(i, t) for i, t in enumerate(["the quick fox", "a slow fox", None, "the end"])]
+    e.create("w", spark.createDataFrame(rows, "k int, t string"), {"t": {"type": "text", "fields": {"stem": {"type": "text", "analyzer": "english"}}}}, id_col="k")
+    plain = {q: [(r["k"], r["_score"]) for r in e.search("w", {"query": {"match": {q: "the foxes fox"}}}).hits.collect()] for q in ("t", "t.stem")}
+    sources.store_tokens(e, "w")
+    assert {q: [(r["k"], r["_score"]) for r in e.search("w", {"query": {"match": {q: "the foxes fox"}}}).hits.collect()] for q in plain} == plain
+    page = e.search("w", {"query": {"match": {"t": "fox"}}}).hits
+    assert set(page.columns) == {"_index", "_id", "_score", "k", "t"}
+    e.search("w", {"query": {"match": {"t": "fox"}}, "size": 0}).matched.select("k").explain("formatted")
+    assert "ReadSchema: struct<k:int,_cv_tokens_0:array<string>>" in capsys.readouterr().out
+    sources.update(e, "w", 3, {"t": "another fox"})
+    assert found(e, {"match": {"t": "fox"}}) == [0, 1, 3] and not e.index("w").mapping.stored
