@@ -42,7 +42,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, fixes row numbers and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cv_path = path
+    return out
+
+
+def discard(*tables: DataFrame, sweep: bool = False) -> None:
+    """Remove tables of ``materialize`` that nothing will read again; with ``sweep`` let the driver drop the shuffle files of plans that are gone, too."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cv_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if sweep and tables:
+        tables[0].sparkSession._jvm.System.gc()  # Spark's cleaner acts on what the collector finds; by itself that is every half hour
 
 
 def ascii_lower(text: Column) -> Column:

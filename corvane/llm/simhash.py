@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import materialize
+from corvane.llm._common import discard, materialize
 
 #: For each byte value, which of its bits are set, most significant first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -112,6 +112,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     if labels.isEmpty():
+        discard(links)
         return labels
     while True:
         told = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
@@ -120,10 +121,14 @@ def components(links: DataFrame) -> DataFrame:
         hooked = told.select("x.node", "x.to").where("node <> to").groupBy("node").agg(F.min("to").alias("to"))
         moved = materialize(labels.join(hooked, "node", "left").select("node", F.least("label", "to").alias("label"), F.coalesce(F.col("to") < F.col("label"), F.lit(False)).alias("moved")), "labels")
         if moved.where("moved").isEmpty():
+            discard(links, moved)
             return labels
+        old = labels
+        jumped = moved
         for _ in range(2):
-            moved = moved.join(moved.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label"))
-        labels = materialize(moved, "labels")
+            jumped = jumped.join(jumped.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label"))
+        labels = materialize(jumped, "labels")
+        discard(old, moved)
 
 
 def _grouped(rows: DataFrame, shingle: int, seed: int, distance: int, hot: int) -> DataFrame:
