@@ -11,7 +11,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import datemath, geo
+from corvane.functions import datemath, geo, hashing
 from corvane.functions.scripts import Script
 from corvane.plans.mapping import TEXT, Field, Mapping
 from corvane.plans.query import Compiler
@@ -276,14 +276,16 @@ class Aggregator:
             out.append(F.col(f"`{c}`").asc_nulls_last() if d == "asc" else F.col(f"`{c}`").desc_nulls_last())
         return [*out, F.asc(f"`{key}`")]
 
-    def _included(self, c: Column, how: dict) -> Column:
+    def _included(self, c: Column, how: dict, kind: str) -> Column:
         def test(spec: object) -> Column:
             return c.isin(spec) if isinstance(spec, list) else F.regexp_like(c.cast("string"), F.lit(f"^(?:{spec})$"))
 
         ok = F.lit(True)
         inc, exc = how.get("include"), how.get("exclude")
         if isinstance(inc, dict):
-            ok = F.pmod(F.hash(c), F.lit(int(inc["num_partitions"]))) == int(inc["partition"])
+            value = hashing.as_long(c, kind)
+            h = hashing.mix64(value) if value is not None else hashing.murmur3(F.encode(c, "UTF-8"), 31) if kind == "string" else F.hash(c)
+            ok = F.pmod(h, F.lit(int(inc["num_partitions"]))) == int(inc["partition"])
         elif inc is not None:
             ok = test(inc)
         return ok & ~test(exc) if exc is not None else ok
@@ -294,7 +296,7 @@ class Aggregator:
             c, f = level.mapping.tokens(f), Field(f.name, "keyword", "", True)
         rows = self._with_key(level, name, c, f.multi)
         if "include" in how or "exclude" in how:
-            rows.df = rows.df.where(self._included(F.col(name), how))
+            rows.df = rows.df.where(self._included(F.col(name), how, dict(rows.df.dtypes)[name]))
         size, least = int(how.get("size", 10)), int(how.get("min_doc_count", 1))
 
         def finish(frame: DataFrame, rows: Level) -> DataFrame:
@@ -339,7 +341,7 @@ class Aggregator:
             raise ValueError("rare_terms does not work on floating point fields")
         rows = self._with_key(level, name, c, f.multi)
         if "include" in how or "exclude" in how:
-            rows.df = rows.df.where(self._included(F.col(name), how))
+            rows.df = rows.df.where(self._included(F.col(name), how, dict(rows.df.dtypes)[name]))
         return rows, lambda frame, _: frame.where(F.col("doc_count") <= int(how.get("max_doc_count", 1)))
 
     def _significant(self, level: Level, name: str, how: dict, key: Column, many: bool) -> tuple:

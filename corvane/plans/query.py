@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING, NamedTuple
@@ -12,7 +13,7 @@ from typing import TYPE_CHECKING, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import datemath, geo, patterns, positions
+from corvane.functions import datemath, geo, hashing, patterns, positions
 from corvane.functions.scripts import Script
 from corvane.plans.mapping import NUMERIC, RANGES, TEXT, Field, Mapping, id_in
 
@@ -59,8 +60,8 @@ def _one(body: dict) -> tuple[str, object]:
 class Compiler:
     """Compiles queries over one index. Joins that a query needs are added to ``df``; without ``scoring`` text statistics are not gathered."""
 
-    def __init__(self, df: DataFrame, mapping: Mapping, engine: Engine | None = None, scoring: bool = False, id_col: str = "_id") -> None:
-        self.df, self.mapping, self.engine, self.scoring, self.id_col = df, mapping, engine, scoring, id_col
+    def __init__(self, df: DataFrame, mapping: Mapping, engine: Engine | None = None, scoring: bool = False, id_col: str = "_id", index: str = "") -> None:
+        self.df, self.mapping, self.engine, self.scoring, self.id_col, self.index = df, mapping, engine, scoring, id_col, index
         self.named: dict[str, Column] = {}
         self.inner: dict[str, Column] = {}
         self._stats: dict[str, object] = {}
@@ -628,8 +629,12 @@ class Compiler:
             return m[how.get("modifier", "none")](v) * w
         if "random_score" in fn:
             how = fn["random_score"]
-            by = self.mapping.column(self._field(how["field"])) if "field" in how else F.col(self.id_col)
-            return F.xxhash64(by, F.lit(int(how.get("seed", 0)))).bitwiseAND(F.lit(0xFFFFFF)) / float(1 << 24) * w
+            by = self.mapping.column(self._field(how["field"])) if how.get("field", "_id") != "_id" else F.col(self.id_col)
+            seed = str(how.get("seed", 0))
+            number = re.fullmatch(r"[+-]?\d+(\.\d*)?", seed)
+            salted = hashing.mix32(int(seed.split(".")[0]) if number else hashing.string_hash(seed), hashing.string_hash(self.index) << 10)
+            h = F.coalesce(hashing.murmur3(F.encode(by.cast("string"), "UTF-8"), salted), F.lit(salted).cast("long"))
+            return h.bitwiseAND(0xFFFFFF) / float(1 << 24) * w
         if "script_score" in fn:
             return self.script(fn["script_score"]["script"], score).cast("double") * w
         return F.lit(w)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import hashing
 from corvane.functions.analysis import TOKEN, analyze
 from corvane.operators import suggest
 from corvane.plans.search import Engine, Relation, SearchResult
@@ -185,7 +186,6 @@ _hits("s_script_score", "orders", {"query": {"script_score": {"query": {"term":
 _hits("s_distance_feature", "orders", {"query": {"distance_feature": {"field": "o_orderdate", "origin": "1996-06-01", "pivot": "7d"}}, "size": 50}, "o_orderkey; _score AS score", "SELECT o_orderkey, round(604800000.0 / (604800000.0 + abs(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1996-06-01'))), 4) AS score FROM orders ORDER BY abs(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1996-06-01')), o_orderkey LIMIT 50")
 _hits("s_rank_feature", "part", {"query": {"rank_feature": {"field": "p_retailprice", "saturation": {"pivot": 1000}}}, "size": 50}, "p_partkey; _score AS score", "SELECT p_partkey, round(p_retailprice / (p_retailprice + 1000), 4) AS score FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
 _hits("s_rescore", "part", {"query": {"rank_feature": {"field": "p_size", "linear": {}}}, "size": 20, "rescore": {"window_size": 15, "query": {"rescore_query": {"constant_score": {"filter": {"term": {"p_brand": "Brand#13"}}, "boost": 100}}, "query_weight": 0.5, "rescore_query_weight": 2}}}, "p_partkey; _score AS score", "WITH t AS (SELECT p_partkey, p_brand, CAST(p_size AS DOUBLE) AS s, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part) SELECT p_partkey, CASE WHEN r <= 15 THEN s * 0.5 + CASE WHEN p_brand = 'Brand#13' THEN 200 ELSE 0 END ELSE s END AS score FROM t ORDER BY score DESC, p_partkey LIMIT 20")
-_add("s_random_score", lambda e: e.search("part", {"query": {"function_score": {"random_score": {"seed": 5, "field": "p_partkey"}}}, "size": 10}).hits.select("p_partkey", "_score"), None)
 
 # -- joins and nested
 
@@ -442,6 +442,34 @@ _add("b_terms_partitions", lambda e: e.search("orders", {"size": 0, "aggs": {"c"
 _agg("p_moving_avg_ewma", "events", _daily({"c": {"moving_avg": {"buckets_path": "_count", "window": 2, "model": "ewma", "settings": {"alpha": 0.5}}}}), "d", f"{_DAYS} SELECT d, n AS doc_count, round(v, 4) AS v, round(coalesce(0.5 * lag(n) OVER w + 0.5 * lag(n, 2) OVER w, lag(n) OVER w), 4) AS c FROM x WINDOW w AS (ORDER BY d)", _BUY)
 _add("a_normalizer", lambda e: _analyzed(e, analyze(F.col("c_mktsegment"), {"tokenizer": "keyword", "filter": ["lowercase", "trim"]}), "customer", "c_custkey"), "SELECT c_custkey, lower(c_mktsegment) AS tokens FROM customer")
 
+# -- hashes that decide scores, slices and partitions
+
+
+def _nested(source: str, *steps: tuple[str, str]) -> str:
+    """SQL that adds one column after another, each of those before."""
+    for name, value in steps:
+        source = f"SELECT *, {value} AS {name} FROM ({source})"
+    return source
+
+
+def _murmur_sql(key: str, digits: str, table: str, seed: int) -> str:
+    """Common table expressions that end in ``m (k, h)``: the signed MurmurHash3 of the bytes whose hexadecimal digits are given."""
+    word = "CAST('0x' || d[8 * i + 7:8 * i + 8] || d[8 * i + 5:8 * i + 6] || d[8 * i + 3:8 * i + 4] || d[8 * i + 1:8 * i + 2] AS UBIGINT)"
+    full, rotated = "4294967296", lambda c, r: f"({c} * {1 << r} % 4294967296) | ({c} >> {32 - r})"
+    times = lambda c, by: f"{c} * CAST({by} AS UBIGINT) % {full}"
+    stirred = (("w1", times("w", 0xCC9E2D51)), ("w2", rotated("w1", 15)), ("w3", times("w2", 0x1B873593)))
+    block = _nested("SELECT * FROM s WHERE 4 * i + 4 <= n", ("w", word), *stirred, ("x", "xor(h, w3)"), ("y", rotated("x", 13)))
+    tail = _nested("SELECT * FROM s WHERE 4 * i + 4 > n", ("w", f"CASE WHEN n % 4 > 0 THEN {word} ELSE CAST(0 AS UBIGINT) END"), *stirred, ("x", "xor(xor(h, w3), CAST(n AS UBIGINT))"), ("x1", times("xor(x, x >> 16)", 0x85EBCA6B)), ("x2", times("xor(x1, x1 >> 13)", 0xC2B2AE35)), ("z", "CAST(xor(x2, x2 >> 16) AS BIGINT)"))
+    return f"WITH RECURSIVE s AS (SELECT {key} AS k, {digits} AS d, length({digits}) // 2 AS n, 0 AS i, CAST({seed & 0xFFFFFFFF} AS UBIGINT) AS h FROM {table} UNION ALL SELECT k, d, n, i + 1, (y * 5 + CAST({0xE6546B64} AS UBIGINT)) % {full} FROM ({block})), m AS (SELECT k, CASE WHEN z >= 2147483648 THEN z - {full} ELSE z END AS h FROM ({tail}))"
+
+
+_PACKED = "'FE' || o_orderkey || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) % 2 = 1 THEN 'F' ELSE '' END"
+_MIXED = _nested("SELECT k, CAST(k AS UHUGEINT) AS u FROM (SELECT DISTINCT o_custkey AS k FROM orders)", ("u1", "xor(u, u >> 32) * CAST(5536775847593249645 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT)"), ("u2", "xor(u1, u1 >> 29) * CAST(18163797613775837673 AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT)"), ("u3", "CAST(xor(u2, u2 >> 32) AS HUGEINT)"))
+_hits("s_random_score", "part", {"query": {"function_score": {"random_score": {"seed": 5, "field": "p_partkey"}}}, "size": 10}, "p_partkey; _score AS score", f"{_murmur_sql('p_partkey', 'hex(CAST(p_partkey AS VARCHAR))', 'part', hashing.mix32(5, hashing.string_hash('part') << 10))} SELECT k AS p_partkey, round((h & 16777215) / 16777216.0, 4) AS score FROM m ORDER BY h & 16777215 DESC, k LIMIT 10")
+_add("h_slice_ids", lambda e: e.search("orders", {"slice": {"id": 1, "max": 3}, "size": 0}).matched.select("o_orderkey"), f"{_murmur_sql('o_orderkey', _PACKED, 'orders', 7919)} SELECT k AS o_orderkey FROM m WHERE (h % 3 + 3) % 3 = 1")
+_agg("b_terms_partition_text", "part", {"b": {"terms": {"field": "p_brand", "size": 1000, "include": {"partition": 2, "num_partitions": 3}}}}, "b", f"{_murmur_sql('p_brand', 'hex(p_brand)', '(SELECT DISTINCT p_brand FROM part)', 31)} SELECT p_brand AS b, count(*) AS doc_count FROM part WHERE p_brand IN (SELECT k FROM m WHERE (h % 3 + 3) % 3 = 2) GROUP BY 1")
+_agg("b_terms_partition_number", "orders", {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 1, "num_partitions": 4}}}}, "c", f"WITH x AS ({_MIXED}) SELECT o_custkey AS c, count(*) AS doc_count FROM orders WHERE o_custkey IN (SELECT k FROM x WHERE u3 % 4 = 1) GROUP BY 1")
+
 # -- streams
 
 

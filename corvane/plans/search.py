@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import datemath, geo
+from corvane.functions import datemath, geo, hashing
 from corvane.operators.aggregations import Aggregator
 from corvane.operators.highlight import highlighted
 from corvane.plans.mapping import TEXT, Field, Mapping, id_in
@@ -38,7 +38,7 @@ class Index:
         return c.df.where(m.hit)
 
     def scored(self, query: dict | None, scoring: bool = True) -> tuple[DataFrame, Column]:
-        c = Compiler(self.df, self.mapping, self.engine, scoring, self.id_col)
+        c = Compiler(self.df, self.mapping, self.engine, scoring, self.id_col, self.name)
         m = c.compile(query)
         return c.df.where(m.hit).withColumn("_cv_child_score", m.score), F.col("_cv_child_score")
 
@@ -171,7 +171,7 @@ class Engine:
     def explain(self, name: str, doc_id: object, query: dict) -> DataFrame:
         """One row: whether the document matches and its score, clause by clause for a bool query."""
         ix = self.index(name)
-        c = Compiler(ix.df, ix.mapping, self, True, ix.id_col)
+        c = Compiler(ix.df, ix.mapping, self, True, ix.id_col, ix.name)
         m = c.compile(query)
         clauses = [(f"{k}[{i}]", c.compile(q)) for k in ("must", "filter", "should", "must_not") for i, q in enumerate(_listed(query.get("bool", {}).get(k)))]
         parts = F.array(*[F.struct(F.lit(n).alias("clause"), F.coalesce(x.hit, F.lit(False)).alias("matched"), x.score.cast("double").alias("value")) for n, x in clauses]) if clauses else F.array().cast("array<struct<clause:string,matched:boolean,value:double>>")
@@ -278,7 +278,7 @@ class Search:
         return out if ix.id_col == "_id" else out.withColumn("_id", F.col(ix.id_col))
 
     def _matched(self, ix: Index, alias: dict | None) -> DataFrame:
-        c = Compiler(ix.df, ix.mapping, self.engine, self.scoring, ix.id_col)
+        c = Compiler(ix.df, ix.mapping, self.engine, self.scoring, ix.id_col, ix.name)
         m = c.compile(self.body.get("query"))
         guard = c.compile(alias).hit if alias else F.lit(True)
         boost = next((float(b) for entry in _listed(self.body.get("indices_boost")) for n, b in entry.items() if fnmatch.fnmatchcase(ix.name, n)), 1.0)
@@ -292,12 +292,22 @@ class Search:
             out = out.where(F.col("_score") >= float(self.body["min_score"]))
         if "slice" in self.body:
             s = self.body["slice"]
-            by = F.col(s["field"]) if "field" in s and s["field"] != "_id" else F.col(ix.id_col)
-            out = out.where(F.pmod(F.hash(by), F.lit(int(s["max"]))) == int(s["id"]))
+            out = out.where(F.pmod(self._slice_hash(ix, out, s.get("field", "_id")), F.lit(int(s["max"]))) == int(s["id"]))
         if int(self.body.get("terminate_after", 0)) > 0:
             out = out.limit(int(self.body["terminate_after"]))
         return self._own(ix, out)
 
+    @staticmethod
+    def _slice_hash(ix: Index, df: DataFrame, name: str) -> Column:
+        """The number that tells an id's or a value's slice; a missing value's is 0. Values that are no whole numbers take Spark's hash."""
+        if name == "_id":
+            return hashing.murmur3(hashing.encoded_id(F.col(ix.id_col)), 7919)
+        value = hashing.as_long(F.col(name), dict(df.dtypes).get(name, ""))
+        if value is None:
+            return F.hash(name)
+        low = hashing.mix64(value).bitwiseAND(0xFFFFFFFF)
+        return F.coalesce(F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low), F.lit(0).cast("long"))
+
     # -- sort
 
     def _key(self, spec: object) -> list[tuple[Column, bool, object]]:

@@ -6,8 +6,9 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.functions import patterns, positions
+from corvane.functions import hashing, patterns, positions
 from corvane.functions.datemath import parse_duration_ms, resolve
 from corvane.functions.stem import porter
 from corvane.plans.render import filter_path, written
@@ -85,3 +86,37 @@ def test_filter_path():
     assert filter_path(body, "**.c") == {"hits": {"hits": [{"_source": {"b": {"c": 2}}}]}}
     assert filter_path(body, "-hits.hits._source,-took") == {"hits": {"total": 1, "hits": [{"_id": "1"}]}}
     assert filter_path(body, "t*") == {"took": 3}
+
+
+def plain_murmur(data, seed):
+    rotated = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF
+    stirred = lambda k: rotated(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (rotated(h ^ stirred(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= stirred(int.from_bytes(data[whole:], "little")) ^ len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return (h ^ h >> 16) - (1 << 32 if h ^ h >> 16 > 0x7FFFFFFF else 0)
+
+
+def test_murmur3(spark):
+    assert plain_murmur(b"hello", 0) == 0x248BFA47
+    texts = ["", "a", "ab", "abc", "abcd", "hello, world", "héllo", "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for seed in (0, 31, 0xFFFFFFFF):
+        got = [r[0] for r in df.select(hashing.murmur3(F.encode("t", "UTF-8"), seed)).collect()]
+        assert got == [*(plain_murmur(t.encode(), seed) for t in texts), None]
+
+
+def test_mix64_and_encoded_ids(spark):
+    values = [0, 1, -1, 7, 2**63 - 1, -(2**63), 123456789012]
+    want = []
+    for v in values:
+        u = v % 2**64
+        u = (u ^ u >> 32) * 0x4CD6944C5CC20B6D % 2**64
+        u = (u ^ u >> 29) * 0xFC12C5B19D3259E9 % 2**64
+        want.append((u ^ u >> 32) - (2**64 if u >= 2**63 else 0))
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(hashing.mix64(F.col("v"))).collect()] == want
+    ids = {"12345": "FE12345F", "1234": "FE1234", "abcd": "69B71D", "_-AQ": "FDFFE010", "hello, you": "FF68656C6C6F2C20796F75", "": "FF"}
+    assert [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i string").select(F.hex(hashing.encoded_id(F.col("i")))).collect()] == list(ids.values())
