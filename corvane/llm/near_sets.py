@@ -49,9 +49,8 @@ def _common(texts: DataFrame, shingle: int, seed: int) -> tuple[np.ndarray, np.n
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle, seed).view(np.int64))], ["h"])
 
     met = sample.select("_cv_bytes").mapInArrow(of, "h long").groupBy("h").count().where("count > 1")
-    found = {r["h"]: r["count"] for r in met.orderBy(F.desc("count"), "h").limit(COMMON).collect()}
-    h = np.fromiter(found.keys(), dtype=np.int64, count=len(found)).view(np.uint64)
-    c = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+    found = met.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()  # collect() would merge every task's rows on the driver
+    h, c = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
     return h[np.argsort(h)], c[np.argsort(h)]
 
 
@@ -170,8 +169,18 @@ def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return shared.withColumn("label", F.col("id")) if labels is None else shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def similar_links(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """Links a < b between rows of ``sets`` (_cv_row, n, bits, prefix; no two sets equal) whose components are those of all links of that similarity.
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, label) of components once ``links`` (a, b) join them, ids that had none included: only labels that a link joins are looked at again."""
+    told = links
+    for c in "ab":
+        told = told.join(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    up = components(told.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    again = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+    return again.unionByName(up.withColumnRenamed("node", "id").join(labels.select("id"), "id", "left_anti"))
+
+
+def similar_groups(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """The components of all links of that similarity between rows of ``sets`` (_cv_row, n, bits, prefix; no two sets equal): id and the smallest id reachable, for rows that have a link.
 
     Sets of that similarity share a shingle of their prefixes. First each set is compared with one other of its shingles,
     which joins most of a group of near copies at the cost of its size; then all pairs of a shingle are, but for those
@@ -201,9 +210,9 @@ def similar_links(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int,
         rest = rest.join(earlier, ["a", "b"], "left_anti")
     rest = materialize(_enough(rest, lists, similarity), "near-pairs")
     discard(lists, met, *tried, sweep=True)
-    links.append(_verified(rest, texts, shingle, seed, similarity))
+    last = _verified(rest, texts, shingle, seed, similarity)
     discard(rest)
-    return reduce(DataFrame.unionByName, links)
+    return _joined(labels, last)
 
 
 def drop_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
@@ -223,9 +232,9 @@ def drop_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     copies = ranked.join(firsts, "digest").where(F.col("rank.row") != F.col("lo.row")).select(F.col("rank.row").alias("_cv_row"))
     copies = materialize(copies, "near-copies")
     sets = found.join(copies, "_cv_row", "left_anti")
-    labels = components(similar_links(sets, texts, shingle=shingle, seed=seed, similarity=similarity))
+    labels = materialize(similar_groups(sets, texts, shingle=shingle, seed=seed, similarity=similarity), "near-groups")
     discard(found, copies)
-    labelled = firsts.join(labels.withColumnRenamed("node", "at"), F.col("lo.row") == F.col("at"), "left").select("digest", "lo", F.coalesce("label", F.col("lo.row")).alias("label"))
+    labelled = firsts.join(labels.withColumnRenamed("id", "at"), F.col("lo.row") == F.col("at"), "left").select("digest", "lo", F.coalesce("label", F.col("lo.row")).alias("label"))
     labelled = materialize(labelled, "near-labels")
     kept = labelled.join(labelled.groupBy("label").agg(F.min("lo").alias("first")), "label").select("digest", F.col("first.row").alias("kept"))
     gone = ranked.join(kept, "digest").where(F.col("rank.row") != F.col("kept")).select(F.col("rank.row").alias("_cv_row"))

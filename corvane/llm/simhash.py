@@ -109,12 +109,18 @@ def near_links(prints: DataFrame, distance: int = 3, hot: int = 4096) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """The connected components of ``links`` (a, b): node and the smallest node reachable, by hooking and pointer jumping, each round written to the shared folder."""
     links = materialize(links, "links")
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    # Where every node is its own label, the links alone tell the first hooking.
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
+    labels = materialize(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "labels")
     if labels.isEmpty():
         discard(links)
         return labels
     while True:
+        jumped = labels
+        for _ in range(2):
+            jumped = jumped.join(jumped.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label"))
+        old, labels = labels, materialize(jumped, "labels")
+        discard(old)
         told = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
         least = F.least("la", "lb").alias("to")
         told = told.where("la <> lb").select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), least) for c in ("a", "b", "la", "lb")])).alias("x"))
@@ -123,12 +129,9 @@ def components(links: DataFrame) -> DataFrame:
         if moved.where("moved").isEmpty():
             discard(links, moved)
             return labels
-        old = labels
-        jumped = moved
-        for _ in range(2):
-            jumped = jumped.join(jumped.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label"))
-        labels = materialize(jumped, "labels")
-        discard(old, moved)
+        discard(labels)
+        labels = moved.select("node", "label")
+        labels._cv_path = moved._cv_path
 
 
 def _grouped(rows: DataFrame, shingle: int, seed: int, distance: int, hot: int) -> DataFrame:

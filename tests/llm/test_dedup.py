@@ -117,3 +117,11 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 300), (300, 299), (-5, 300)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).select("node", "label").collect())
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == -5 for i in (100, 101, 299, 300, -5))
+
+
+def test_components_take_the_first_round_from_the_links(spark, monkeypatch):
+    """A star is told by its links alone: links, hooked labels, jumped labels and the check are all that is written."""
+    written, real = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: written.append(tag) or real(df, tag))
+    got = simhash.components(spark.createDataFrame([(3, i) for i in range(4, 30)], "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(i, 3) for i in range(3, 30)} and len(written) <= 4

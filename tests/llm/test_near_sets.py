@@ -73,3 +73,11 @@ def test_maps_differ_in_no_more_than_the_sets():
             assert apart <= len(np.setxor1d(a, b))
             if n == 300 and shared <= n // 4:
                 assert apart > (len(a) + len(b)) / 9
+
+
+def test_later_links_join_labels(spark):
+    """Labels joined by more links are those of all links, ids without a label included; links within a component change none."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "id long, label long")
+    for links, want in (([(2, 6), (6, 20), (30, 31), (8, 9)], {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 30: 30, 31: 30, 8: 8, 9: 8}), ([(0, 9)], {1: 1, 2: 1, 5: 5, 6: 5, 8: 0, 9: 0, 0: 0}), ([], {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8})):
+        got = near_sets._joined(labels, spark.createDataFrame(links, "a long, b long")).select("id", "label").collect()
+        assert len(got) == len(want) and dict(tuple(r) for r in got) == want
