@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._common import discard, materialize
-from corvane.llm.simhash import components
+from corvane.llm.simhash import components, near_links, print_of
 
 #: Documents of the sample that tells common shingles, and how many of these are put last in the order.
 SAMPLE, COMMON = 10_000, 1 << 17
@@ -73,7 +73,7 @@ def parity_map(found: np.ndarray) -> np.ndarray:
 
 
 def _with_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, seed: int, similarity: float) -> DataFrame:
-    """_cv_row, the digest, the size and the parity map of the row's shingle set, and its prefix."""
+    """_cv_row, the digest, the size, the parity map and the SimHash of the row's shingle set, and its prefix."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +81,10 @@ def _with_prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shin
             prefixes = pa.array([prefix_of(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
             digests, sizes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())
             maps = pa.array([parity_map(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, maps, prefixes], ["_cv_row", "digest", "n", "bits", "prefix"])
+            prints = pa.array(np.fromiter((print_of(s) if len(s) else 0 for s in sets), dtype=np.uint64, count=len(sets)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, maps, prints, prefixes], ["_cv_row", "digest", "n", "bits", "fp", "prefix"])
 
-    return texts.mapInArrow(of, "_cv_row long, digest binary, n int, bits array<long>, prefix array<long>")
+    return texts.mapInArrow(of, "_cv_row long, digest binary, n int, bits array<long>, fp long, prefix array<long>")
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -145,6 +146,18 @@ def _can_reach(c: Column, na: Column, nb: Column, similarity: float) -> Column:
     return c + F.greatest(rest(na), rest(nb)) >= (na + nb) * (similarity / (1 + similarity)) - 1e-9
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Pairs a < b by SimHash, of rows of ``sets`` (_cv_row, fp): each row and the first of its fingerprint, and the first row of each fingerprint and that of the smallest other within 3 bits, which equal deletion variants find.
+
+    One a row, so that a large group costs its size; what 3 bits do not tell the prefixes do.
+    """
+    firsts = materialize(sets.groupBy("fp").agg(F.min("_cv_row").alias("id")), "near-prints")
+    ends = near_links(firsts.select("fp")).select(F.inline(F.array(*[F.struct(F.col(x).alias("fp"), F.col(y).alias("to")) for x, y in ("ab", "ba")])))
+    nearest = ends.groupBy("fp").agg(F.min("to").alias("to"))
+    near = nearest.join(firsts, "fp").join(firsts.select(F.col("fp").alias("to"), F.col("id").alias("other")), "to").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return near.unionByName(sets.join(firsts, "fp").where(F.col("_cv_row") != F.col("id")).select(F.col("id").alias("a"), F.col("_cv_row").alias("b")))
+
+
 def _proposed(shared: DataFrame, lists: DataFrame, labels: DataFrame | None, similarity: float, again: int) -> DataFrame:
     """For each set at most one other to be compared with (a, b): each shingle puts forward one of its sets, first the one that shares the most itself and then another each time, and that with which most shingles are shared is taken, of those not joined yet and similar enough for all that the prefixes tell."""
     row = F.struct("id", "n", "i", "label")
@@ -180,9 +193,10 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_groups(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """The components of all links of that similarity between rows of ``sets`` (_cv_row, n, bits, prefix; no two sets equal): id and the smallest id reachable, for rows that have a link.
+    """The components of all links of that similarity between rows of ``sets`` (_cv_row, n, bits, fp, prefix; no two sets equal): id and the smallest id reachable, for rows that have a link.
 
-    Sets of that similarity share a shingle of their prefixes. First each set is compared with one other of its shingles,
+    Sets of that similarity share a shingle of their prefixes. First each set is compared with the one that its SimHash puts
+    forward and with one other of its shingles,
     which joins most of a group of near copies at the cost of its size; then all pairs of a shingle are, but for those
     already joined or compared and those that the parity maps rule out, so that a large group does not cost its square.
     """
@@ -195,6 +209,8 @@ def similar_groups(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int
     links, tried, labels = [], [], None
     for again in range(ROUNDS):
         pairs = _proposed(shared, lists, labels, similarity, again)
+        if again == 0:
+            pairs = pairs.unionByName(_enough(by_fingerprint(sets.where("n > 0")), lists, similarity)).distinct()
         for earlier in tried:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         tried.append(materialize(pairs, "near-tried"))

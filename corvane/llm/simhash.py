@@ -25,6 +25,12 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n)
+    return print_of(hashes)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is set where it is set in over half of the hashes."""
+    n = len(hashes)
     lanes = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     set_in = np.concatenate([np.bincount(lanes[:, b], minlength=256) @ _BITS for b in range(8)])
     return int.from_bytes(np.packbits(set_in * 2 > n).tobytes(), "big")

@@ -81,3 +81,16 @@ def test_later_links_join_labels(spark):
     for links, want in (([(2, 6), (6, 20), (30, 31), (8, 9)], {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 30: 30, 31: 30, 8: 8, 9: 8}), ([(0, 9)], {1: 1, 2: 1, 5: 5, 6: 5, 8: 0, 9: 0, 0: 0}), ([], {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8})):
         got = near_sets._joined(labels, spark.createDataFrame(links, "a long, b long")).select("id", "label").collect()
         assert len(got) == len(want) and dict(tuple(r) for r in got) == want
+
+
+def test_fingerprints_put_pairs_forward(spark):
+    """Each set that has another within 3 bits is put forward with such a one: by SimHash and its deletion variants."""
+    r, prints = random.Random(4), []
+    for _ in range(6):
+        base = r.getrandbits(64)
+        prints += [base, base] + [base ^ sum(1 << i for i in r.sample(range(64), k)) for k in (1, 2, 3, 4, 9)]
+    sets = spark.createDataFrame([(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)], "_cv_row long, fp long")
+    got = [tuple(x) for x in near_sets.by_fingerprint(sets).collect()]
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 3 for a, b in got)
+    told = {x for pair in got for x in pair}
+    assert told == {i for i, p in enumerate(prints) if any(i != j and (p ^ q).bit_count() <= 3 for j, q in enumerate(prints))} and len(got) < 2 * len(prints)
