@@ -95,7 +95,8 @@ def near_links(prints: DataFrame, distance: int = 3, hot: int = 4096) -> DataFra
     first = ((segment == 0) & (F.col("s") % 64 == 0)) | (segment == F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s") % 64))
 
     def met(left: DataFrame, on: list[str]) -> DataFrame:
-        both = left.withColumnRenamed("fp", "a").join(left.withColumnRenamed("fp", "b"), on)
+        # Spark sizes what an explode makes by its input: without the hint it would broadcast all keys of a few MB of prints.
+        both = left.withColumnRenamed("fp", "a").hint("merge").join(left.withColumnRenamed("fp", "b"), on)
         return both.where((F.col("a") < F.col("b")) & (apart <= distance) & first).select("a", "b")
 
     def without(low: int, width: int) -> Column:

@@ -113,6 +113,13 @@ def test_no_link_is_lost_at_other_distances(spark, distance, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_keys_are_not_broadcast(spark):
+    """Spark sizes the keys by the few bytes of the prints' file; they are 64 rows a print, on both sides."""
+    prints = simhash.materialize(spark.range(2000).select(simhash.F.xxhash64("id").alias("fp")), "prints")
+    plan = near_links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [s" in plan and "BroadcastHashJoin [s" not in plan
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 300), (300, 299), (-5, 300)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).select("node", "label").collect())
