@@ -165,7 +165,8 @@ def _proposed(shared: DataFrame, lists: DataFrame, labels: DataFrame | None, sim
     middle = -F.col("s") if again == 0 else F.lit(0)  # what others were made of shares the most shingles
     lead = F.min_by(row, F.struct(middle.alias("m"), F.xxhash64("id", F.lit(again)).alias("r"), "id"))
     leads = seen.groupBy("h").agg(lead.alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "lead")
-    met = seen.select("h", row.alias("x")).join(leads, "h").where((F.col("x.label") != F.col("lead.label")) & _may_link("lead", "x", similarity))
+    # Here and below: Spark sizes rows made of arrays by the array's file, and would broadcast many times that.
+    met = seen.select("h", row.alias("x")).hint("merge").join(leads, "h").where((F.col("x.label") != F.col("lead.label")) & _may_link("lead", "x", similarity))
     counted = met.groupBy(F.col("x.id").alias("x"), F.col("lead.id").alias("lead")).agg(F.count("*").alias("c"))
     best = counted.groupBy("x").agg(F.max_by("lead", F.struct("c", F.col("lead"))).alias("lead"))
     return _enough(best.select(F.least("x", "lead").alias("a"), F.greatest("x", "lead").alias("b")).distinct(), lists, similarity)
@@ -219,7 +220,7 @@ def similar_groups(sets: DataFrame, texts: DataFrame, *, shingle: int, seed: int
     told = F.transform("hs", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.slice("hs.h", F.greatest(k - BEFORE + 1, F.lit(1)), F.least(k, F.lit(BEFORE))).alias("before")))
     labelled = _labelled(lists.select("id", "n", "bits", F.inline(told)), labels).select("h", F.struct("id", "n", "i", "before", "bits").alias("x"), "label")
     p, q = labelled.select("h", F.col("x").alias("p"), F.col("label").alias("lp")), labelled.select("h", F.col("x").alias("q"), F.col("label").alias("lq"))
-    rest = p.join(q, "h").where((F.col("p.id") < F.col("q.id")) & (F.col("lp") != F.col("lq")) & _first_shared("p", "q", similarity) & _maps_allow(F.col("p.bits"), F.col("q.bits"), F.col("p.n"), F.col("q.n"), similarity))
+    rest = p.hint("merge").join(q, "h").where((F.col("p.id") < F.col("q.id")) & (F.col("lp") != F.col("lq")) & _first_shared("p", "q", similarity) & _maps_allow(F.col("p.bits"), F.col("q.bits"), F.col("p.n"), F.col("q.n"), similarity))
     rest = materialize(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "near-met")
     met = rest
     for earlier in tried:

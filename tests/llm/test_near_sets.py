@@ -94,3 +94,20 @@ def test_fingerprints_put_pairs_forward(spark):
     assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 3 for a, b in got)
     told = {x for pair in got for x in pair}
     assert told == {i for i, p in enumerate(prints) if any(i != j and (p ^ q).bit_count() <= 3 for j, q in enumerate(prints))} and len(got) < 2 * len(prints)
+
+
+def test_shingle_rows_are_not_broadcast(spark, monkeypatch):
+    """Rows that come of a set's array are many times what Spark takes from the file that holds it: no join of them by shingle is a broadcast."""
+    plans, real = {}, near_sets.materialize
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, tag)
+
+    monkeypatch.setattr(near_sets, "materialize", noted)
+    words = [[f"w{i % 7}_{j}" for j in range(20)] for i in range(30)]
+    rows = [(i, " ".join([*w[: i % 15], f"x{i}", *w[i % 15 :]])) for i, w in enumerate(words)]
+    near_sets.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for tag in ("near-tried", "near-met"):
+        assert "SortMergeJoin [h" in plans[tag] and "BroadcastHashJoin [h" not in plans[tag]
+    assert "SortMergeJoin [s" in plans["near-tried"] and "BroadcastHashJoin [s" not in plans["near-tried"]
