@@ -260,7 +260,9 @@ class Aggregator:
         return Level(df, [*level.keys, name], level.mapping, level.path)
 
     def _top(self, frame: DataFrame, parents: list[str], order: list[Column], size: int) -> DataFrame:
-        """The first ``size`` buckets of each parent; without parents a bounded top-k."""
+        """The first ``size`` buckets of each parent; without parents a bounded top-k. The largest int asks for all."""
+        if size >= 2**31 - 1:  # a limit would bring all of them to one task
+            return frame if parents else frame.orderBy(*order)
         if not parents:
             return frame.orderBy(*order).limit(size)
         w = Window.partitionBy(*parents).orderBy(*order)

@@ -29,6 +29,8 @@ def _frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _OPEN: dict[tuple[str, str], Engine] = {}
+#: The size of a terms aggregation that asks for all buckets.
+ALL = 2**31 - 1
 
 
 def engine(spark: SparkSession, sf: str) -> Engine:
@@ -468,7 +470,7 @@ _MIXED = _nested("SELECT k, CAST(k AS UHUGEINT) AS u FROM (SELECT DISTINCT o_cus
 _hits("s_random_score", "part", {"query": {"function_score": {"random_score": {"seed": 5, "field": "p_partkey"}}}, "size": 10}, "p_partkey; _score AS score", f"{_murmur_sql('p_partkey', 'hex(CAST(p_partkey AS VARCHAR))', 'part', hashing.mix32(5, hashing.string_hash('part') << 10))} SELECT k AS p_partkey, round((h & 16777215) / 16777216.0, 4) AS score FROM m ORDER BY h & 16777215 DESC, k LIMIT 10")
 _add("h_slice_ids", lambda e: e.search("orders", {"slice": {"id": 1, "max": 3}, "size": 0}).matched.select("o_orderkey"), f"{_murmur_sql('o_orderkey', _PACKED, 'orders', 7919)} SELECT k AS o_orderkey FROM m WHERE (h % 3 + 3) % 3 = 1")
 _agg("b_terms_partition_text", "part", {"b": {"terms": {"field": "p_brand", "size": 1000, "include": {"partition": 2, "num_partitions": 3}}}}, "b", f"{_murmur_sql('p_brand', 'hex(p_brand)', '(SELECT DISTINCT p_brand FROM part)', 31)} SELECT p_brand AS b, count(*) AS doc_count FROM part WHERE p_brand IN (SELECT k FROM m WHERE (h % 3 + 3) % 3 = 2) GROUP BY 1")
-_agg("b_terms_partition_number", "orders", {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 1, "num_partitions": 4}}}}, "c", f"WITH x AS ({_MIXED}) SELECT o_custkey AS c, count(*) AS doc_count FROM orders WHERE o_custkey IN (SELECT k FROM x WHERE u3 % 4 = 1) GROUP BY 1")
+_agg("b_terms_partition_number", "orders", {"c": {"terms": {"field": "o_custkey", "size": ALL, "include": {"partition": 1, "num_partitions": 4}}}}, "c", f"WITH x AS ({_MIXED}) SELECT o_custkey AS c, count(*) AS doc_count FROM orders WHERE o_custkey IN (SELECT k FROM x WHERE u3 % 4 = 1) GROUP BY 1")
 
 # -- streams
 
