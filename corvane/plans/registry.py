@@ -440,7 +440,7 @@ _hits("h_sort_id_desc", "orders", {"sort": [{"o_orderkey": "desc"}], "from": 5,
 _rows("q_must_not_lookup", "customer", {"bool": {"must_not": [{"terms": {"c_nationkey": {"index": "nation", "query": {"term": {"n_regionkey": 1}}, "path": "n_nationkey"}}}]}}, "c_custkey", "customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 _rows("q_fuzzy_max_expansions", "nation", {"fuzzy": {"n_name": {"value": "IRAM", "fuzziness": 2, "max_expansions": 1}}}, "n_nationkey", "nation WHERE n_name = (SELECT n_name FROM nation WHERE damerau_levenshtein(n_name, 'IRAM') <= 2 ORDER BY 1 - damerau_levenshtein(n_name, 'IRAM') / CAST(least(length(n_name), 4) AS DOUBLE) DESC, n_name LIMIT 1)")
 _rows("t_phrase_prefix_max_expansions", "documents", {"match_phrase_prefix": {"text": {"query": "of th", "max_expansions": 3}}}, "doc_id", f"(SELECT doc_id, {_T} AS t FROM documents), (SELECT list(w) AS ends FROM (SELECT DISTINCT w FROM (SELECT unnest({_T}) AS w FROM documents) WHERE starts_with(w, 'th') ORDER BY w LIMIT 3)) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND list_contains(ends, t[i + 1]))) > 0")
-_add("b_terms_partitions", lambda e: e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 0, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count").unionByName(e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": 100000, "include": {"partition": 1, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count")), "SELECT o_custkey AS c, count(*) AS doc_count FROM orders GROUP BY 1")
+_add("b_terms_partitions", lambda e: e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": ALL, "include": {"partition": 0, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count").unionByName(e.search("orders", {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": ALL, "include": {"partition": 1, "num_partitions": 2}}}}}).aggregations["c"].select("c", "doc_count")), "SELECT o_custkey AS c, count(*) AS doc_count FROM orders GROUP BY 1")
 _agg("p_moving_avg_ewma", "events", _daily({"c": {"moving_avg": {"buckets_path": "_count", "window": 2, "model": "ewma", "settings": {"alpha": 0.5}}}}), "d", f"{_DAYS} SELECT d, n AS doc_count, round(v, 4) AS v, round(coalesce(0.5 * lag(n) OVER w + 0.5 * lag(n, 2) OVER w, lag(n) OVER w), 4) AS c FROM x WINDOW w AS (ORDER BY d)", _BUY)
 _add("a_normalizer", lambda e: _analyzed(e, analyze(F.col("c_mktsegment"), {"tokenizer": "keyword", "filter": ["lowercase", "trim"]}), "customer", "c_custkey"), "SELECT c_custkey, lower(c_mktsegment) AS tokens FROM customer")
 

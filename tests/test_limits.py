@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from corvane.plans import registry
 from corvane.plans.mapping import dynamic_properties
 from corvane.plans.search import Engine
 from corvane.sources import documents as sources
@@ -85,3 +89,19 @@ def test_tokens_are_stored_once(spark, capsys):
     assert "ReadSchema: struct<k:int,_cv_tokens_0:array<string>>" in capsys.readouterr().out
     sources.update(e, "w", 3, {"t": "another fox"})
     assert found(e, {"match": {"t": "fox"}}) == [0, 1, 3] and not e.index("w").mapping.stored
+
+
+def test_partitions_hold_all_terms(spark, tmp_path):
+    """More terms in a partition than any size short of the largest int lets through."""
+    sf = Path("/root/testdata/sf0.001")
+    for p in sf.iterdir():
+        if p.name != "orders.parquet":
+            (tmp_path / p.name).symlink_to(p)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    shifted = orders.crossJoin(spark.range(1 + 450_000 // orders.count()).withColumnRenamed("id", "k"))
+    key = F.row_number().over(Window.orderBy("k", "o_orderkey")).cast("long")
+    shifted.withColumn("o_orderkey", key).withColumn("o_custkey", F.col("o_orderkey")).drop("k").write.parquet(f"{tmp_path}/orders.parquet")
+    n = spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    parts = registry.QUERIES["b_terms_partition_number"](spark, str(tmp_path))
+    assert 100_000 < parts.count() < n / 3 and "Limit" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    assert registry.QUERIES["b_terms_partitions"](spark, str(tmp_path)).agg(F.count_distinct("c"), F.sum("doc_count")).first() == (n, n)
