@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,12 +118,18 @@ def _distinct(options: list[list[int]]) -> bool:
 
 
 def _minimal(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    return sorted(s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans))
+    """The spans that hold no other, ascending in both ends."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(spans, key=lambda s: (-s[0], s[1])):
+        if not out or s[1] < out[-1][1]:
+            out.append(s)
+    return out[::-1]
 
 
 def _combine(parts: list[list[tuple[int, int]]], mode: str, max_gaps: int) -> list[tuple[int, int]]:
     """Spans that hold one of each part: in order without overlap, in any order, or in any order without overlap."""
     found: set[tuple[int, int]] = set()
+    starts = [[a for a, _ in p] for p in parts]
 
     def grow(left: list[int], got: list[tuple[int, int]]) -> None:
         if not left:
@@ -129,9 +138,11 @@ def _combine(parts: list[list[tuple[int, int]]], mode: str, max_gaps: int) -> li
             if max_gaps < 0 or hi - lo + 1 - covered <= max_gaps:
                 found.add((lo, hi))
             return
-        for s in parts[left[0]]:
-            if mode == "ordered" and got and s[0] <= got[-1][1]:
-                continue
+        first = bisect_right(starts[left[0]], got[-1][1]) if mode == "ordered" and got else 0
+        for k in range(first, len(parts[left[0]])):
+            s = parts[left[0]][k]
+            if mode == "ordered" and got and 0 <= max_gaps < s[0] - got[0][0] - sum(b - a + 1 for a, b in got):
+                break  # what comes later leaves more out
             if mode == "unordered_no_overlap" and any(s[0] <= b and a <= s[1] for a, b in got):
                 continue
             if mode == "unordered" and s in got:
@@ -180,8 +191,54 @@ def _needed(rule: dict) -> set[str]:
     return {t for r in rule["rules"] for t in _needed(r)} if rule["kind"] == "all_of" else set()
 
 
+def _of_token(rule: dict) -> Callable[[Column], Column] | None:
+    """For a rule whose intervals are single tokens that a built-in tells, whether a token is one."""
+    if "filter" in rule:
+        return None
+    if rule["kind"] == "match" and len(rule["terms"]) == 1:
+        return lambda x: x == rule["terms"][0]
+    if rule["kind"] == "regex":
+        return lambda x: F.regexp_like(x, F.lit(f"\\A(?:{rule['pattern']})\\z"))
+    if rule["kind"] == "any_of" and rule["rules"] and all(tests := [_of_token(r) for r in rule["rules"]]):
+        return lambda x: reduce(lambda a, b: a | b, [test(x) for test in tests])
+    return None
+
+
+def _in_a_row(tokens: Column, tests: list[Callable[[Column], Column]]) -> Column:
+    """Whether tokens that pass the tests stand in a row, in one pass: bit j of the state tells whether the last j + 1 tokens pass the first tests, one bit more that a row has ended."""
+    k, none = len(tests), F.lit(0).cast("long")
+
+    def step(state: Column, x: Column) -> Column:
+        passed = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test(x), F.lit(1 << j).cast("long")).otherwise(none) for j, test in enumerate(tests)])
+        ended = state.bitwiseOR(F.shiftleft(state, 1)).bitwiseAND(F.lit(1 << k))
+        return F.shiftleft(state, 1).bitwiseOR(F.lit(1)).bitwiseAND(passed).bitwiseOR(ended)
+
+    return F.aggregate(tokens, none, step) >= 1 << (k - 1)
+
+
+def _built_in(tokens: Column, rule: dict) -> Column | None:
+    """Whether the rule has an interval, where built-ins tell it: single tokens, any of such rules, tokens in a row."""
+    if test := _of_token(rule):
+        return F.exists(tokens, test)
+    if "filter" in rule:
+        return None
+    if rule["kind"] == "any_of":
+        found = [_built_in(tokens, r) for r in rule["rules"]]
+        return reduce(lambda a, b: a | b, found) if found and all(x is not None for x in found) else None
+    if rule["kind"] in ("match", "all_of") and rule["mode"] == "ordered" and rule["max_gaps"] == 0:
+        parts = [{"kind": "match", "terms": [t]} for t in rule["terms"]] if rule["kind"] == "match" else rule["rules"]
+        tests = [_of_token(r) for r in parts]
+        return _in_a_row(tokens, tests) if 0 < len(tests) < 60 and all(tests) else None
+    return None
+
+
 def intervals(tokens: Column, rule: dict) -> Column:
-    """Whether the rule has an interval. Rows without a term that it needs are cut off before they go to Python."""
+    """Whether the rule has an interval, by built-ins where they tell it. Else rows without a term that it needs are cut off before they go to Python."""
+    needed = F.lit(True)
+    for t in sorted(_needed(rule)):
+        needed = needed & F.array_contains(tokens, t)
+    if (found := _built_in(tokens, rule)) is not None:
+        return F.coalesce(needed & found, F.lit(False))
     told = json.dumps(rule)
 
     @F.pandas_udf("boolean")
@@ -189,7 +246,4 @@ def intervals(tokens: Column, rule: dict) -> Column:
         parsed = json.loads(told)
         return rows.map(lambda ts: ts is not None and bool(evaluate_intervals(parsed, list(ts))))
 
-    needed = F.lit(True)
-    for t in sorted(_needed(rule)):
-        needed = needed & F.array_contains(tokens, t)
     return needed & match(tokens)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -80,6 +82,36 @@ def test_intervals():
     assert positions.evaluate_intervals({"kind": "any_of", "rules": [match("fox"), match("quick", "fox", mode="ordered")]}, tokens) == [(3, 3)]
 
 
+def test_intervals_of_long_texts_take_linear_time():
+    """Every pair of such tokens would be 36 million."""
+    word = lambda t: {"kind": "match", "terms": [t], "mode": "ordered", "max_gaps": -1}
+    rule = {"kind": "all_of", "rules": [word("a"), word("b")], "mode": "ordered", "max_gaps": 1}
+    began = time.process_time()
+    assert len(positions.evaluate_intervals(rule, ["a", "b", "c"] * 6000)) == 6000
+    assert len(positions.evaluate_intervals({"kind": "any_of", "rules": [word("a"), rule]}, ["a", "b", "c"] * 6000)) == 6000
+    assert time.process_time() - began < 3
+
+
+def test_built_in_intervals_agree(spark):
+    """Rules told by built-ins are those of the plain evaluator; they need no Python, and no others are told so."""
+    r = random.Random(8)
+    texts = [[r.choice(["of", "the", "then", "a\nb", "other", "tha"]) for _ in range(r.randrange(9))] for _ in range(150)] + [None, [], ["of", None, "the"]]
+    word = lambda *t, gaps=-1: {"kind": "match", "terms": list(t), "mode": "ordered", "max_gaps": gaps}
+    th, line, either = {"kind": "regex", "pattern": "(?s)th.*"}, {"kind": "regex", "pattern": "(?s)^a.b$"}, {"kind": "any_of", "rules": [word("of"), {"kind": "regex", "pattern": "(?s)^the$"}]}
+    row = lambda *rules, gaps=0: {"kind": "all_of", "rules": list(rules), "mode": "ordered", "max_gaps": gaps}
+    rules = [word("of"), th, line, either, row(word("of"), th), row(th, th, th), row(either, th, word("of")), word("of", "the", "then", gaps=0), {"kind": "any_of", "rules": [row(word("of"), th), line]}]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t array<string>")
+    found = df.select("id", *[positions.intervals(F.col("t"), x).alias(f"r{k}") for k, x in enumerate(rules)])
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for got, ts in zip(found.orderBy("id").collect(), texts, strict=True):
+        if ts is None or None not in ts:
+            assert [*got[1:]] == [bool(ts is not None and positions.evaluate_intervals(x, ts)) for x in rules], ts
+        else:
+            assert got["r1"] is True and got["r4"] is False
+    for rule in (row(word("of"), th, gaps=1), {**word("of"), "filter": ("before", th)}, {"kind": "fuzzy", "term": "the", "edits": 1}):
+        assert positions._built_in(F.col("t"), rule) is None
+
+
 def test_filter_path():
     body = {"hits": {"total": 1, "hits": [{"_id": "1", "_source": {"a": 1, "b": {"c": 2}}}]}, "took": 3}
     assert filter_path(body, "hits.hits._source.b") == {"hits": {"hits": [{"_source": {"b": {"c": 2}}}]}}
